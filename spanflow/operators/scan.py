@@ -1,109 +1,57 @@
 """Skew-safe ordered scans within groups.
 
 A window ``PARTITION BY key ORDER BY ...`` sends a whole group to one task;
-one key holding a third of all rows would then be a third of the job in a
-single task.  These scans instead range-partition on ``(key, order)`` (the
-sampled bounds split a hot key over many partitions), scan each partition
-in order with pandas (vectorized, per Arrow batch), and fix up the rows of a
-key that continues from an earlier partition with a carry table.  A key can
-only continue into a partition as that partition's first key, so the carry
-table has at most one row per partition: a proven bound, broadcast safely.
+a key holding a third of all rows would be a third of the job in a single
+task.  These scans cut each group into *chunks*: ranges of the order given
+by a column that never decreases along the order (an hour of a timestamp, a
+line number, a block id).  The window runs per ``(key, chunk)``, so a hot key
+spreads over as many tasks as it has chunks; what a chunk needs from the
+chunks before it (a row count, the last definition) comes from a per-chunk
+summary, which has one row per ``(key, chunk)``, is aggregated partially
+before its shuffle, and is joined back on ``(key, chunk)`` - the side the
+window already partitioned that way.  Everything is a function of the row
+values (no sampling, no partition ids), so a recomputed task after an
+executor loss gets the same answer.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
-def _sorted_by_range(df: DataFrame, keys: list[str], order: list[str], partitions: int | None) -> DataFrame:
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (df.repartitionByRange(n, *keys, *order)
-              .sortWithinPartitions(*keys, *order)
-              .withColumn("_pid", F.spark_partition_id()))
-
-
-def _runs(pdf: pd.DataFrame, keys: list[str], prev_key):
-    """Run id per row (consecutive equal keys) and whether row 0 continues prev_key."""
-    k = pdf[keys].astype(object).where(pdf[keys].notna(), "\u0000null")
-    change = (k != k.shift()).any(axis=1).to_numpy()
-    first = tuple(k.iloc[0])
-    cont = prev_key is not None and first == prev_key
-    change[0] = not cont
-    return np.cumsum(change), cont, tuple(k.iloc[-1])
+def _chunked(df: DataFrame, chunk: Column | str | None) -> DataFrame:
+    c = F.lit(0) if chunk is None else (F.col(chunk) if isinstance(chunk, str) else chunk)
+    return df.withColumn("_chunk", c)
 
 
 def group_positions(df: DataFrame, keys: list[str], order: list[str], name: str = "pos",
-                    partitions: int | None = None) -> DataFrame:
+                    chunk: Column | str | None = None) -> DataFrame:
     """0-based position of each row within its group, by ``order``."""
-    s = _sorted_by_range(df, keys, order, partitions)
-    schema = T.StructType(s.schema.fields + [T.StructField("_lpos", T.LongType())])
-
-    def scan(it):
-        prev_key, prev_next = None, 0
-        for pdf in it:
-            if len(pdf) == 0:
-                yield pdf.assign(_lpos=pd.Series(dtype="int64"))
-                continue
-            runs, cont, last = _runs(pdf, keys, prev_key)
-            pos = pd.Series(runs).groupby(runs).cumcount().to_numpy().astype("int64")
-            if cont:
-                pos[runs == runs[0]] += prev_next
-            prev_key, prev_next = last, int(pos[-1]) + 1
-            yield pdf.assign(_lpos=pos)
-
-    local = s.mapInPandas(scan, schema)
-    counts = s.groupBy("_pid", *keys).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    carry = (counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-                   .filter(F.col("_off") > 0).select("_pid", *keys, "_off"))
-    out = local.join(F.broadcast(carry), ["_pid", *keys], "left")
-    return out.withColumn(name, (F.col("_lpos") + F.coalesce(F.col("_off"), F.lit(0))).cast("long")) \
-              .drop("_pid", "_lpos", "_off")
+    d = _chunked(df, chunk)
+    w = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    local = d.withColumn("_lpos", F.row_number().over(w) - 1)
+    if chunk is None:
+        return local.withColumn(name, F.col("_lpos").cast("long")).drop("_chunk", "_lpos")
+    counts = d.groupBy(*keys, "_chunk").agg(F.count("*").alias("_n"))
+    wc = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = counts.select(*keys, "_chunk", F.coalesce(F.sum("_n").over(wc), F.lit(0)).alias("_off"))
+    out = local.join(carry, [*keys, "_chunk"])
+    return out.withColumn(name, (F.col("_lpos") + F.col("_off")).cast("long")).drop("_chunk", "_lpos", "_off")
 
 
 def last_before(df: DataFrame, keys: list[str], order: list[str], value: str, name: str,
-                partitions: int | None = None) -> DataFrame:
+                chunk: Column | str | None = None) -> DataFrame:
     """The last non-null ``value`` strictly before each row within its group
-    (an as-of lookup: e.g. the reaching definition of a use)."""
-    s = _sorted_by_range(df, keys, order, partitions)
-    vtype = s.schema[value].dataType
-    schema = T.StructType(s.schema.fields + [T.StructField("_lv", vtype)])
-
-    def scan(it):
-        prev_key, carry = None, None
-        for pdf in it:
-            if len(pdf) == 0:
-                yield pdf.assign(_lv=pd.Series(dtype="object"))
-                continue
-            runs, cont, last = _runs(pdf, keys, prev_key)
-            v = pdf[value].astype(object).where(pdf[value].notna(), None)
-            g = pd.Series(v.to_numpy(), dtype=object).groupby(runs)
-            prev = g.shift(1)
-            filled = prev.groupby(runs).ffill()
-            if cont and carry is not None:
-                first = runs == runs[0]
-                filled[first] = filled[first].where(filled[first].notna(), carry)
-            # value to carry into the next batch for the last run
-            last_run = runs == runs[-1]
-            lv = pd.Series(v.to_numpy(), dtype=object)[last_run].dropna()
-            if len(lv):
-                carry = lv.iloc[-1]
-            elif not (cont and runs[-1] == runs[0]):
-                carry = None
-            prev_key = last
-            yield pdf.assign(_lv=filled.to_numpy())
-
-    local = s.mapInPandas(scan, schema)
-    per = (s.filter(F.col(value).isNotNull()).groupBy("_pid", *keys)
-             .agg(F.max_by(F.col(value), F.struct(*order)).alias("_last")))
-    keys_seen = s.groupBy("_pid", *keys).agg(F.lit(1).alias("_x"))
-    both = keys_seen.join(per, ["_pid", *keys], "left")
-    w = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    carry = (both.withColumn("_c", F.last("_last", ignorenulls=True).over(w))
-                 .filter(F.col("_c").isNotNull()).select("_pid", *keys, "_c"))
-    out = local.join(F.broadcast(carry), ["_pid", *keys], "left")
-    return out.withColumn(name, F.coalesce(F.col("_lv"), F.col("_c"))).drop("_pid", "_lv", "_c")
+    (an as-of lookup, e.g. the reaching definition of a use)."""
+    d = _chunked(df, chunk)
+    w = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = d.withColumn("_lv", F.last(value, ignorenulls=True).over(w))
+    if chunk is None:
+        return local.withColumnRenamed("_lv", name).drop("_chunk")
+    per = (d.groupBy(*keys, "_chunk")
+             .agg(F.max_by(F.col(value), F.when(F.col(value).isNotNull(), F.struct(*order))).alias("_last")))
+    wc = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = per.select(*keys, "_chunk", F.last("_last", ignorenulls=True).over(wc).alias("_c"))
+    out = local.join(carry, [*keys, "_chunk"])
+    return out.withColumn(name, F.coalesce(F.col("_lv"), F.col("_c"))).drop("_chunk", "_lv", "_c")

@@ -59,3 +59,27 @@ def sql_label(t: str = "text") -> str:
       WHEN {t} IN ({kws}) THEN {t}
       WHEN regexp_full_match({t}, '[\\p{{L}}\\p{{M}}\\p{{N}}_$]+') THEN 'identifier'
       ELSE {t} END"""
+
+
+def sql_draw_int(lo: int, hi: int, key_sql: str, inclusive: bool = False) -> str:
+    span = hi - lo + (1 if inclusive else 0)
+    return f"({lo} + (('0x' || substr(md5({key_sql}), 1, 13))::BIGINT % {span}))"
+
+
+def sql_draw_float(lo: float, hi: float, key_sql: str) -> str:
+    return (f"({float(lo)!r} + ({float(hi)!r} - {float(lo)!r}) * "
+            f"((('0x' || substr(md5({key_sql}), 1, 13))::BIGINT)::DOUBLE / 4503599627370496.0))")
+
+
+def sql_number_words(n: str) -> str:
+    from ..functions.scalars import TENS, UNITS
+    units = "[" + ", ".join(sql_str(w) for w in UNITS) + "]"
+    tens = "[" + ", ".join(sql_str(w) for w in TENS) + "]"
+    a = f"abs({n})"
+    word = (f"CASE WHEN {a} < 20 THEN {units}[{a} + 1] WHEN {a} < 100 THEN {tens}[{a} // 10 + 1] || "
+            f"CASE WHEN {a} % 10 <> 0 THEN '-' || {units}[{a} % 10 + 1] ELSE '' END END")
+    return f"CASE WHEN {n} < 0 THEN 'minus ' || ({word}) ELSE ({word}) END"
+
+
+def sql_signed_log(x: str) -> str:
+    return f"CASE WHEN {x} > 0 THEN ln({x}) WHEN {x} < 0 THEN -ln(-({x})) ELSE 0.0 END"
