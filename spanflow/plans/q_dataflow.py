@@ -14,7 +14,9 @@ from .common import T
 from .q_tokens import doc_tokens
 from .registry import query
 
-HOUR = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600)  # monotone in (ts, event_id)
+def hour():
+    """Chunk of the event order: its hour (monotone in (ts, event_id))."""
+    return F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600)
 
 
 def events_acc(spark, sf):
@@ -24,7 +26,7 @@ def events_acc(spark, sf):
 def reaching(spark, sf):
     e = events_acc(spark, sf)
     return D.reaching_defs(e, ["user_id"], ["ts", "event_id"], F.col("event_type") == "view",
-                           idx="event_id", chunk=HOUR, name="def_id")
+                           idx="event_id", chunk=hour(), name="def_id")
 
 
 _reach_sql = """
