@@ -81,7 +81,7 @@ FROM ab LEFT JOIN bb ON ab.doc_id = bb.doc_id AND ab.bucket = bb.bucket AND ab.s
      AND ab.bucket = greatest(ab.s, bb.s) // 64
 GROUP BY ab.doc_id, ab.idx""")
 def align_tokens(spark, sf):
-    docs = by_doc(T(spark, sf, "documents").select("doc_id", "text"))
+    docs = by_doc(T(spark, sf, "documents").select("doc_id", "text"))   # shuffled once, reused by both sides
     words = token_table(docs, with_lines=False, partitioned=True)
     parts = token_table(docs, lang="pieces", with_lines=False, partitioned=True)
     al = align_spans(words, parts, ["doc_id"], "idx", "idx", width=64)

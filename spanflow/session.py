@@ -19,6 +19,13 @@ def get_spark(cores: int | str = "*", app: str = "spanflow", shuffle_partitions:
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
+         # broadcast only what is measured: no broadcast from (explode-blind)
+         # static estimates, AQE may still broadcast a side whose *runtime*
+         # size is under its threshold; explicit hints carry proven bounds
+         .config("spark.sql.autoBroadcastJoinThreshold", "-1")
+         .config("spark.sql.adaptive.autoBroadcastJoinThreshold", "64m")
+         # per-document joins keyed (doc_id, x) reuse the doc_id partitioning
+         .config("spark.sql.requireAllClusterKeysForCoPartition", "false")
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
          .config("spark.ui.enabled", "false")
