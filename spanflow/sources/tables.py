@@ -45,10 +45,10 @@ def read_code_jsonl(spark: SparkSession, path: str) -> DataFrame:
 
 def read_code_tree(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
     """S3: every regular file under ``root`` (recursively) is one document."""
-    r = spark.read.option("recursiveFileLookup", "true").option("wholetext", "true")
+    r = spark.read.option("recursiveFileLookup", "true")
     if glob:
         r = r.option("pathGlobFilter", glob)
-    df = r.text(root)
+    df = r.text(root, wholetext=True)
     return df.select(F.col("_metadata.file_path").alias("file_path"),
                      F.col("value").alias("code"))
 
@@ -108,7 +108,7 @@ def read_datasets(spark: SparkSession, path: str) -> DataFrame:
         F.col("sample_id").cast("long"),
         F.col("s.inps").alias("inps"),
         F.when(outs.startswith("["), F.from_json(outs, "array<int>")).alias("y_vec"),
-        F.try_cast(outs, "double").alias("y_num"),
+        outs.try_cast("double").alias("y_num"),
         F.when(F.lower(outs).isin("true", "false"), F.lower(outs) == "true").alias("y_bool"),
         F.when(outs.startswith("["), F.from_json(F.lower(outs), "array<boolean>")).alias("y_bools"),
     )
