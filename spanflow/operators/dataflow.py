@@ -69,10 +69,10 @@ def statement_edges(acc: DataFrame, stmt: list[str], role: str = "role", idx: st
 def update_edges(acc: DataFrame, stmt: list[str], idx: str = "idx") -> DataFrame:
     """``i++`` - every access of the statement feeds every other one,
     itself included.  Returned factorized: one row per statement with its
-    members and the edge count n^2 (the n^2 rows are never materialized; a
-    consumer that needs them explodes ``members`` twice for small n)."""
-    return acc.groupBy(*stmt).agg(F.sort_array(F.collect_set(idx)).alias("members"),
-                                  F.count("*").alias("n_members")) \
+    member count and edge count n^2; the members are the statement's own
+    access rows.  Neither the n^2 edges nor a member list (the whole group)
+    is ever materialized."""
+    return acc.groupBy(*stmt).agg(F.count("*").alias("n_members")) \
               .withColumn("n_edges", F.col("n_members") * F.col("n_members"))
 
 

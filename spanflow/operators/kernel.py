@@ -11,6 +11,15 @@ from pyspark.sql import functions as F
 from ..functions.hashing import draw_u32, hash_split
 
 
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Make CPU-heavy per-row work parallel.  A big input already arrives in
+    many scan splits and is returned as is (no shuffle); an input with fewer
+    partitions than the cluster's default parallelism (e.g. one small
+    parquet file = one split) is spread round-robin first."""
+    n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def split_supported(df: DataFrame, lang_col: str, langs: Iterable[str]) -> tuple[DataFrame, DataFrame]:
     """(rows in a supported language, rejected rows with a reason)."""
     langs = list(langs)

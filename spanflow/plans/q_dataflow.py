@@ -108,8 +108,10 @@ SELECT u.conv_id, u.ord, u.turn AS src, NULL::BIGINT AS dst, true AS whole FROM
 @query("zip_assign", _zip_sql)
 def zip_assign(spark, sf):
     c = T(spark, sf, "conversations").select("conv_id", "turn", "role")
-    u = group_positions(c.filter(F.col("role") == "user"), ["conv_id"], ["turn"], "ord")
-    a = group_positions(c.filter(F.col("role") == "assistant"), ["conv_id"], ["turn"], "ord")
+    # a long conversation is cut into chunks of 1,000 turns
+    u = group_positions(c.filter(F.col("role") == "user"), ["conv_id"], ["turn"], "ord", chunk=F.floor(F.col("turn") / 1000))
+    a = group_positions(c.filter(F.col("role") == "assistant"), ["conv_id"], ["turn"], "ord",
+                        chunk=F.floor(F.col("turn") / 1000))
     return D.zip_assign(u, a, ["conv_id"], "ord", "turn")
 
 
@@ -147,8 +149,9 @@ WHERE role = 'user' AND def_turn IS NOT NULL"""
 def loop_edges(spark, sf):
     c = T(spark, sf, "conversations").filter(F.col("role") != "system").select("conv_id", "turn", "role")
     u = D.unroll_loops(c.withColumn("loop", F.col("conv_id")), "loop", 2)
+    chunk = F.col("pass") * 1_000_000_000 + F.floor(F.col("turn") / 1000)   # monotone in (pass, turn)
     r = D.reaching_defs(u, ["conv_id"], ["pass", "turn"], F.col("role") == "assistant", idx="turn",
-                        chunk="pass", name="def_turn")
+                        chunk=chunk, name="def_turn")
     return r.filter((F.col("role") == "user") & F.col("def_turn").isNotNull()) \
             .select("conv_id", F.col("turn").alias("use_turn"), "def_turn").distinct()
 

@@ -9,9 +9,9 @@ from ..operators import metrics as M
 from ..operators import probes as P
 from ..operators.align import align_spans
 from ..operators.generate import Config, gen_numeric
-from ..operators.kernel import drop_constant_targets
+from ..operators.kernel import drop_constant_targets, spread
 from ..operators.tokens import by_doc, token_table
-from ..operators.vectors import hash_ngram_vectors, piece_vectors, pool, token_piece_vectors
+from ..operators.vectors import hash_text_vectors, piece_vectors, pool, token_piece_vectors
 from .common import PIECE_PATTERN, T, r6, sql_tokens
 from .q_structure import PROSE_FLAGS, prose_flag_predicates
 from .q_tokens import doc_tokens
@@ -22,7 +22,8 @@ _split_sql = lambda k: f"CASE WHEN {sql_u32(repr('42:') + ' || ' + k)} % 100 < 5
 
 
 def doc_vectors(spark, sf):
-    return hash_ngram_vectors(doc_tokens(spark, sf), ["doc_id"], dims=DIMS, layers=LAYERS)
+    d = spread(T(spark, sf, "documents").select("doc_id", "text"))
+    return hash_text_vectors(d, "doc_id", "text", dims=DIMS, layers=LAYERS)
 
 
 @query("hash_vectors", f"""
