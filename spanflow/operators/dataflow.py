@@ -101,40 +101,72 @@ def merge_entries(entries: DataFrame, key: list[str], src_col: str, out: str = "
     return entries.groupBy(*key).agg(F.sort_array(F.collect_set(src_col)).alias(out))
 
 
+def union_positions(a, b) -> Column:
+    """Sorted distinct union of two position lists."""
+    a = F.col(a) if isinstance(a, str) else a
+    b = F.col(b) if isinstance(b, str) else b
+    return F.sort_array(F.array_union(a, b))
+
+
 def merge_branches(states: DataFrame, scope: list[str], var: str, branch: str, idx: str, order: list[str],
-                   base: DataFrame | None = None, has_else: Column | None = None,
-                   policy: Policy = JAVA) -> DataFrame:
-    """After an if/else, a variable's live definitions are the sorted
-    distinct union of the last definition in each branch, plus the
-    pre-branch definition when the policy says so (always, or only when
-    there is no else).  ``states``: definitions inside branches;
-    ``base``: ``(scope, var, idx)`` definitions live before the branch."""
+                   base: DataFrame | None = None, has_else: bool = True, policy: Policy = JAVA,
+                   branches: DataFrame | None = None, branch_order: str | None = None) -> DataFrame:
+    """The live definitions of each variable after an if/else.
+
+    ``states``: definitions inside the branches ``(scope, var, branch, idx,
+    order...)``; ``base``: definitions live before the branch ``(scope, var,
+    idx)`` (several rows per variable allowed); ``branches``: the branches of
+    each scope (default: those seen in ``states``).  Per (variable, branch)
+    the state at the branch's end is its last definition there; a variable
+    the branch does not touch keeps the state it entered with - the pre-branch
+    state (``else_from='base'``) or the state left by the earlier branches
+    (``'current'``, ordered by ``branch_order``).  The pre-branch state is
+    added once more when there is no else (``include_base='if_no_else'``) or
+    always.  Result: ``(scope, var, defs)`` sorted distinct.  Work per
+    variable is bounded by the number of branches."""
     last = (states.groupBy(*scope, var, branch)
                   .agg(F.max_by(F.col(idx), F.struct(*order)).alias("_d")))
-    parts = last.select(*scope, var, F.col("_d").alias(idx))
+    br = (branches if branches is not None else states.select(*scope, branch)).select(*scope, branch).distinct()
+    vars_ = states.select(*scope, var)
+    if base is not None:
+        vars_ = vars_.unionByName(base.select(*scope, var))
+    grid = vars_.distinct().join(br, scope)                   # variables x branches of their scope
+    per = grid.join(last, [*scope, var, branch], "left")
+    if policy.else_from == "current" and branch_order:
+        w = Window.partitionBy(*scope, var).orderBy(branch_order).rowsBetween(Window.unboundedPreceding, 0)
+        per = per.withColumn("_d", F.last("_d", ignorenulls=True).over(w))
+    taken = per.filter(F.col("_d").isNotNull()).select(*scope, var, F.col("_d").alias(idx))
+    parts = taken
     if base is not None:
         b = base.select(*scope, var, idx)
-        if policy.include_base == "if_no_else" and has_else is not None:
-            b = b.filter(~has_else) if isinstance(has_else, Column) else b
-        parts = parts.unionByName(b)
+        untouched = per.filter(F.col("_d").isNull()).select(*scope, var).distinct().join(b, [*scope, var])
+        parts = parts.unionByName(untouched)
+        if policy.include_base == "always" or (policy.include_base == "if_no_else" and not has_else):
+            parts = parts.unionByName(b)
     return parts.groupBy(*scope, var).agg(F.sort_array(F.collect_set(idx)).alias("defs"))
 
 
-def unroll_loops(acc: DataFrame, loop_col: str, passes: int = 2) -> DataFrame:
+def unroll_loops(acc: DataFrame, loop_col: str, passes: int = 2, init_col: str | None = None,
+                 policy: Policy | None = None) -> DataFrame:
     """Rows inside a loop are repeated ``passes`` times (column ``pass``)
     so a use early in the body sees the definitions of the previous
-    iteration; rows outside loops get pass 0."""
+    iteration; rows outside loops get pass 0.  With ``second_pass_from=
+    'after_init'`` the loop's initialisation rows (``init_col``) run once."""
+    passes = policy.passes if policy is not None else passes
     reps = F.when(F.col(loop_col).isNotNull(), F.sequence(F.lit(0), F.lit(passes - 1))).otherwise(F.array(F.lit(0)))
+    if policy is not None and policy.second_pass_from == "after_init" and init_col:
+        reps = F.when(F.coalesce(F.col(init_col), F.lit(False)), F.array(F.lit(0))).otherwise(reps)
     return acc.withColumn("pass", F.explode(reps))
 
 
-def dataflow_edges(acc: DataFrame, doc: str = "doc_id", passes: int = 2) -> DataFrame:
+def dataflow_edges(acc: DataFrame, doc: str = "doc_id", passes: int = 2, policy: Policy | None = None,
+                   init_col: str | None = None) -> DataFrame:
     """C5-C8 together on an access table ``(doc_id, block, loop_id, stmt_id,
     role, var, idx)``: statement edges (J4/J5) plus use edges from the
     reaching definition over unrolled loops (W5 + W3), as a bag
     ``(doc_id, src, dst)`` like the reference (T11)."""
     st = statement_edges(acc, [doc, "stmt_id"]).filter(F.col("src").isNotNull()).select(doc, "src", "dst")
-    u = unroll_loops(acc.filter(F.col("role").isin("use", "def")), "loop_id", passes)
+    u = unroll_loops(acc.filter(F.col("role").isin("use", "def")), "loop_id", passes, init_col, policy)
     u = u.withColumn("_isdef", (F.col("role") == "def").cast("int"))
     r = reaching_defs(u, [doc, "var"], ["block", "pass", "stmt_id", "_isdef", "idx"], F.col("role") == "def")
     uses = r.filter((F.col("role") == "use") & F.col("def_idx").isNotNull()) \

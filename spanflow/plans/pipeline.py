@@ -1,0 +1,56 @@
+"""M6: the full probing pipeline as one function.
+
+load code (S1) -> quarantine bad rows (P2, P6) -> tokens (C1, C2) -> targets
+= structure flags (C3) -> vectors (V1, per layer) -> split (L6) -> drop
+constant targets (P7) -> one probe per (target, layer) (M1, M5) -> long
+results (K3).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.hashing import hash_split
+from ..operators import probes as P
+from ..operators.kernel import quarantine
+from ..operators.structure import DOC_FLAGS, code_flags
+from ..operators.tokens import token_table
+from ..operators.vectors import hash_ngram_vectors
+from ..sources.sinks import write_results
+from ..sources.tables import read_code_jsonl
+
+DEFAULTS = {"task": "structure", "langs": ["java"], "layers": 3, "dims": 16, "max_chars": 10000, "out": None}
+
+
+def run_probe(spark: SparkSession, spec: dict) -> tuple[DataFrame, int]:
+    """Run the pipeline described by ``spec`` (keys: ``input`` = JSONL path
+    or a DataFrame ``(doc_id, language, code)``, optional ``langs``,
+    ``layers``, ``dims``, ``max_chars``, ``out``).  Returns the results
+    table and the number of skipped rows."""
+    spec = {**DEFAULTS, **spec}
+    if spec["task"] != "structure":
+        raise ValueError("only the structure-probing task reads raw code")
+    src = spec["input"]
+    docs = read_code_jsonl(spark, src) if isinstance(src, str) else src.withColumn("_corrupt_record", F.lit(None).cast("string"))
+    err = (F.when(F.col("_corrupt_record").isNotNull(), "malformed line")
+            .when(F.col("code").isNull(), "no code")
+            .when(~F.col("language").isin(spec["langs"]), "unsupported language")
+            .when(F.length("code") > spec["max_chars"], "too long"))
+    ok, bad = quarantine(docs, err)
+    n_skipped = bad.count()
+    toks = token_table(ok.select("doc_id", F.col("code").alias("text")), lang="java", with_label=True)
+    flags = code_flags(toks).withColumn("split", hash_split("doc_id"))
+    vecs = hash_ngram_vectors(toks, ["doc_id"], dims=spec["dims"], layers=spec["layers"])
+    data = vecs.join(flags, "doc_id").persist()
+    counts = flags.filter(F.col("split") == 0).agg(*[F.count_distinct(f).alias(f) for f in DOC_FLAGS]).first()
+    keys = [f for f in DOC_FLAGS if counts[f] > 1]
+    specs = [(k, layer) for k in keys for layer in range(1, spec["layers"] + 1)]
+
+    def data_for(key, layer):
+        return data.filter(F.col("layer") == layer).withColumn("y", F.col(key).cast("int")), "vec", "y"
+    res = P.run_probes(specs, data_for, spark=spark)
+    data.unpersist()
+    if spec["out"]:
+        write_results(res, spec["out"])
+    return res, n_skipped

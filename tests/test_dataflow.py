@@ -17,15 +17,36 @@ def test_branch_merge_policies(spark):
     states = spark.createDataFrame([(0, "x", "then", 5, 5), (0, "x", "else", 9, 9)],
                                    "doc_id int, var string, branch string, idx int, pos int")
     base = spark.createDataFrame([(0, "x", 1)], "doc_id int, var string, idx int")
-    with_else = D.merge_branches(states, ["doc_id"], "var", "branch", "idx", ["pos"], base, F.lit(True), D.JAVA)
+    with_else = D.merge_branches(states, ["doc_id"], "var", "branch", "idx", ["pos"], base, True, D.JAVA)
     assert with_else.first().defs == [5, 9]
-    always = D.merge_branches(states, ["doc_id"], "var", "branch", "idx", ["pos"], base, F.lit(True), D.GO)
+    always = D.merge_branches(states, ["doc_id"], "var", "branch", "idx", ["pos"], base, True, D.GO)
     assert always.first().defs == [1, 5, 9]
     no_else = D.merge_branches(states.filter("branch = 'then'"), ["doc_id"], "var", "branch", "idx", ["pos"],
-                               base, F.lit(False), D.JAVA)
+                               base, False, D.JAVA)
     assert no_else.first().defs == [1, 5]
 
 
+def test_untouched_branch_keeps_base_state(spark):
+    # x = 1 (def 1); if (c) { x = 2 (def 5) } else { y = 3 (def 9) }: x after = {1, 5}, y = {9}
+    states = spark.createDataFrame([(0, "x", "then", 5, 5), (0, "y", "else", 9, 9)],
+                                   "doc_id int, var string, branch string, idx int, pos int")
+    base = spark.createDataFrame([(0, "x", 1)], "doc_id int, var string, idx int")
+    got = {r.var: r.defs for r in D.merge_branches(states, ["doc_id"], "var", "branch", "idx", ["pos"], base,
+                                                   True, D.JAVA).collect()}
+    assert got == {"x": [1, 5], "y": [9]}
+    assert spark.range(1).select(D.union_positions(F.array(F.lit(5), F.lit(1)), F.array(F.lit(1), F.lit(3)))).first()[0] == [1, 3, 5]
+
+
+def test_for_loop_second_pass_after_init(spark):
+    # for (i = 0 [def 1, init]; i < n [use 2]; i++ [use 3, def 4]) { }
+    rows = [(0, 0, 1, 0, "def", "i", 1, True), (0, 0, 1, 1, "use", "i", 2, False), (0, 0, 1, 2, "use", "i", 3, False),
+            (0, 0, 1, 2, "def", "i", 4, False)]
+    acc = spark.createDataFrame(rows, ACC + ", init boolean")
+    e = sorted((r.src, r.dst) for r in D.dataflow_edges(acc, policy=D.GO, init_col="init").collect()
+               if r.src is not None)
+    assert (1, 2) in e and (4, 2) in e and (1, 3) in e and (3, 4) in e
+
+
 def test_entry_merge(spark):
     e = spark.createDataFrame([("x", 7, "comesFrom", 5), ("x", 7, "comesFrom", 1)],
                               "code string, idx int, rel string, src int")

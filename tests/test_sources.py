@@ -79,3 +79,30 @@ def test_streaming_featurizer(spark):
     q.awaitTermination(120)
     r = spark.read.parquet(out).collect()
     assert len(r) == 1 and r[0].HAS_IF and r[0].HAS_INVOKE and not r[0].HAS_WHILE
+
+
+def test_full_probe_pipeline(spark):
+    from spanflow.plans.pipeline import run_probe
+    d = _tmp()
+    with open(os.path.join(d, "code.jsonl"), "w") as f:
+        for i in range(60):
+            body = f"if (x > {i}) {{ y = {i}; }}" if i % 2 else f"y = x + {i}; z = y;"
+            f.write(json.dumps({"language": "java", "code": f"class C{i} {{ void m() {{ {body} }} }}"}) + "\n")
+        f.write(json.dumps({"language": "cobol", "code": "MOVE A TO B."}) + "\n")
+        f.write("{not json\n")
+    out = os.path.join(_tmp(), "results")
+    res, skipped = run_probe(spark, {"input": d, "layers": 2, "out": out})
+    assert skipped == 2
+    rows = {(r.key, r.layer, r.metric): r.value for r in spark.read.parquet(out).collect()}
+    assert ("HAS_IF", 1, "accuracy", ) in {(k, l, m) for k, l, m in rows}
+    assert all(0.0 <= v <= 1.0 for (k, l, m), v in rows.items() if m == "accuracy")
+
+
+def test_comment_stripping(spark):
+    from spanflow.functions.lexing import strip_comments
+    java = 'int a; // c1\n/* block\n */\nString s = "// not a comment"; int b; /* x */ int c;\n\n'
+    py = 'def f():\n    """doc\n    string"""\n    x = "#no"  # yes\n    # only\n    return x\n'
+    r = spark.createDataFrame([(java, py)], "j string, p string").select(
+        strip_comments(F.col("j"), "java").alias("j"), strip_comments(F.col("p"), "python").alias("p")).first()
+    assert r.j == 'int a;  \nString s = "// not a comment"; int b;   int c;'
+    assert r.p == 'def f():\n    x = "#no"  \n    return x'
