@@ -40,11 +40,13 @@ def standardize_vectors(df: DataFrame, arr: str, mean: list[float], std: list[fl
 
 
 def logistic_probe(df: DataFrame, arr: str, y: str, split: str = "split", max_iter: int = 1000,
-                   seed: int = 0, stats: tuple[list[float], list[float]] | None = None) -> tuple[DataFrame, DataFrame]:
+                   seed: int = 0, stats: tuple[list[float], list[float]] | None = None,
+                   tol: float = 1e-4) -> tuple[DataFrame, DataFrame]:
     """M1: balanced-class logistic regression on standardized features,
     trained on split 0, scored on split 1.  Returns (predictions, scores)
     where scores = (accuracy, n_test); regParam = 1 / n_train matches an
-    L2 penalty of weight 1/2 on a weighted loss sum (C = 1)."""
+    L2 penalty of weight 1/2 on a weighted loss sum (C = 1), and the
+    tolerance 1e-4 is that solver's default."""
     train = df.filter(F.col(split) == 0)
     mean, std = stats or _vector_stats(train, arr)
     data = standardize_vectors(df, arr, mean, std).withColumn("_y", F.col(y).cast("double"))
@@ -54,7 +56,7 @@ def logistic_probe(df: DataFrame, arr: str, y: str, split: str = "split", max_it
     wt = data.sparkSession.createDataFrame([(float(r["_y"]), float(r["weight"])) for r in wrows], "_y double, weight double")
     tr = data.filter(F.col(split) == 0).join(F.broadcast(wt), "_y")
     lr = LogisticRegression(featuresCol="features", labelCol="_y", weightCol="weight", maxIter=max_iter,
-                            regParam=1.0 / max(n_train, 1), elasticNetParam=0.0, standardization=False)
+                            regParam=1.0 / max(n_train, 1), elasticNetParam=0.0, standardization=False, tol=tol)
     model = lr.fit(tr)
     keep = [c for c in df.columns if c not in (arr, "y", "yhat")]
     pred = model.transform(data.filter(F.col(split) == 1)).select(*keep,
