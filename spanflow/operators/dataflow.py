@@ -76,22 +76,25 @@ def update_edges(acc: DataFrame, stmt: list[str], idx: str = "idx") -> DataFrame
               .withColumn("n_edges", F.col("n_members") * F.col("n_members"))
 
 
-def zip_assign(left: DataFrame, right: DataFrame, keys: list[str], ord_col: str, val: str) -> DataFrame:
+def zip_assign(left: DataFrame, right: DataFrame, keys: list[str], ord_col: str, val: str,
+               counts: DataFrame | None = None) -> DataFrame:
     """``a, b = x, y``: pair by ordinal when both sides have the same
     count; otherwise each left is paired with the whole right side (one row
-    per left with ``dst`` NULL and ``whole`` = true)."""
-    lc = left.groupBy(*keys).agg(F.count("*").alias("_nl"))
-    rc = right.groupBy(*keys).agg(F.count("*").alias("_nr"))
-    sizes = lc.join(rc, keys, "full").fillna(0, ["_nl", "_nr"])
-    eq = sizes.filter(F.col("_nl") == F.col("_nr")).select(*keys)
-    l2 = left.select(*keys, ord_col, F.col(val).alias("src"))
-    r2 = right.select(*keys, ord_col, F.col(val).alias("dst"))
-    zipped = l2.join(eq, keys, "left_semi").join(r2, [*keys, ord_col], "left") \
-               .withColumn("whole", F.lit(False))
-    whole = l2.join(eq, keys, "left_anti").withColumn("dst", F.lit(None).cast(r2.schema["dst"].dataType)) \
-              .withColumn("whole", F.lit(True))
-    return zipped.select(*keys, ord_col, "src", "dst", "whole").unionByName(
-        whole.select(*keys, ord_col, "src", "dst", "whole"))
+    per left with ``dst`` NULL and ``whole`` = true).  One aggregate decides
+    the mode per statement (``counts`` = ``(keys, n_left, n_right)`` if the
+    caller has it from a cheaper source); one join pairs the ordinals."""
+    ls = left.select(*keys, ord_col, F.col(val).alias("src"))
+    rs = right.select(*keys, ord_col, F.col(val).alias("dst"))
+    if counts is None:
+        sides = ls.select(*keys, F.lit(0).alias("_s")).unionByName(rs.select(*keys, F.lit(1).alias("_s")))
+        counts = sides.groupBy(*keys).agg(F.count_if(F.col("_s") == 0).alias("n_left"),
+                                          F.count_if(F.col("_s") == 1).alias("n_right"))
+    mode = counts.select(*keys, (F.col("n_left") != F.col("n_right")).alias("whole"))
+    lm = ls.join(mode, keys)
+    zipped = lm.filter(~F.col("whole")).join(rs, [*keys, ord_col], "left")
+    whole = lm.filter(F.col("whole")).withColumn("dst", F.lit(None).cast(rs.schema["dst"].dataType))
+    cols = [*keys, ord_col, "src", "dst", "whole"]
+    return zipped.select(*cols).unionByName(whole.select(*cols))
 
 
 def merge_entries(entries: DataFrame, key: list[str], src_col: str, out: str = "sources") -> DataFrame:

@@ -56,12 +56,14 @@ def with_weights(df: DataFrame, y: str, by: list[str] | None = None, name: str =
 def standardize(df: DataFrame, cols: list[str], fit_on: Column | None = None, suffix: str = "_z") -> DataFrame:
     """``(x - mean) / std`` with population std (std 0 -> 1), the
     statistics fitted on the rows where ``fit_on`` holds (train half).
-    The statistics are one aggregate row, used as scalar subqueries."""
+    Fitting is one aggregate over all columns (two numbers per column come
+    back, like any estimator's fit); applying it is a projection."""
     fit = df if fit_on is None else df.filter(fit_on)
+    row = fit.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)],
+                  *[F.stddev_pop(F.col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(cols)]).first()
     out = df
-    for c in cols:
-        mean = fit.agg(F.avg(F.col(c).cast("double"))).scalar()
-        std = fit.agg(F.stddev_pop(F.col(c).cast("double"))).scalar()
-        std1 = F.when(std == 0, F.lit(1.0)).otherwise(std)
-        out = out.withColumn(c + suffix, (F.col(c).cast("double") - mean) / std1)
+    for i, c in enumerate(cols):
+        mean, std = row[f"m{i}"], row[f"s{i}"]
+        std = 1.0 if (std is None or std == 0) else std
+        out = out.withColumn(c + suffix, (F.col(c).cast("double") - F.lit(mean)) / F.lit(std))
     return out

@@ -108,11 +108,13 @@ SELECT u.conv_id, u.ord, u.turn AS src, NULL::BIGINT AS dst, true AS whole FROM
 @query("zip_assign", _zip_sql)
 def zip_assign(spark, sf):
     c = T(spark, sf, "conversations").select("conv_id", "turn", "role")
-    # a long conversation is cut into chunks of 1,000 turns
-    u = group_positions(c.filter(F.col("role") == "user"), ["conv_id"], ["turn"], "ord", chunk=F.floor(F.col("turn") / 1000))
-    a = group_positions(c.filter(F.col("role") == "assistant"), ["conv_id"], ["turn"], "ord",
-                        chunk=F.floor(F.col("turn") / 1000))
-    return D.zip_assign(u, a, ["conv_id"], "ord", "turn")
+    # ordinals per side; a long conversation is cut into chunks of 1,000 turns
+    chunk = F.floor(F.col("turn") / 1000)
+    u = group_positions(c.filter(F.col("role") == "user"), ["conv_id"], ["turn"], "ord", chunk=chunk)
+    a = group_positions(c.filter(F.col("role") == "assistant"), ["conv_id"], ["turn"], "ord", chunk=chunk)
+    counts = c.groupBy("conv_id").agg(F.count_if(F.col("role") == "user").alias("n_left"),
+                                      F.count_if(F.col("role") == "assistant").alias("n_right"))
+    return D.zip_assign(u, a, ["conv_id"], "ord", "turn", counts=counts)
 
 
 @query("merge_entries", """
