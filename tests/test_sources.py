@@ -82,7 +82,7 @@ def test_streaming_featurizer(spark):
 
 
 def test_full_probe_pipeline(spark):
-    from spanflow.plans.pipeline import run_probe
+    from spanflow.plans.probe_run import run_probe
     d = _tmp()
     with open(os.path.join(d, "code.jsonl"), "w") as f:
         for i in range(60):
