@@ -51,8 +51,10 @@ def join_tokens(arr) -> Column:
 
 
 def split_statements(e, sep: str = ";") -> Column:
-    """split a program at ``sep`` and trim each part."""
-    return F.transform(F.split(_c(e), _re_quote(sep)), lambda s: F.trim(s))
+    """split a program at ``sep`` (empty parts kept) and strip blanks
+    (space, tab, newline, CR, form feed) from both ends of each part."""
+    return F.transform(F.split(_c(e), _re_quote(sep), -1),
+                       lambda s: F.regexp_replace(s, r"^[ \t\n\r\f]+|[ \t\n\r\f]+$", ""))
 
 
 def _re_quote(s: str) -> str:

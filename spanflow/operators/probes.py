@@ -13,13 +13,13 @@ from __future__ import annotations
 from typing import Iterable
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernel import pending
-from .metrics import balanced_weights, confusion
+from .metrics import balanced_weights
 
 
 def _vector_stats(train: DataFrame, arr: str) -> tuple[list[float], list[float]]:

@@ -121,7 +121,7 @@ SELECT conv_id, turn, len(parts)::INTEGER AS n_statements, parts[1] AS first_sta
          lambda s: regexp_replace(s, '^[ \t\n\r\f]+|[ \t\n\r\f]+$', '', 'g')) AS parts FROM conversations)""")
 def split_statements(spark, sf):
     c = T(spark, sf, "conversations")
-    parts = F.transform(F.split("text", r"\.", -1), lambda s: F.regexp_replace(s, r"^[ \t\n\r\f]+|[ \t\n\r\f]+$", ""))
+    parts = split_stmts(F.col("text"), ".")
     return c.select("conv_id", "turn", F.size(parts).alias("n_statements"), F.element_at(parts, 1).alias("first_statement"))
 
 

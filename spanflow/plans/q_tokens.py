@@ -10,7 +10,7 @@ from ..functions.scalars import span_text as span
 from ..operators.align import align_spans
 from ..operators.kernel import named_tokens as named
 from ..operators.tokens import by_doc, label_tokens, line_offsets as lines, token_table
-from .common import PIECE_PATTERN, T, sql_label, sql_pieces, sql_str, sql_tokens
+from .common import PIECE_PATTERN, T, sql_label, sql_str, sql_tokens
 from .registry import query
 
 

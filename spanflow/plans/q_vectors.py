@@ -13,8 +13,7 @@ from ..operators.kernel import drop_constant_targets, spread
 from ..operators.tokens import by_doc, token_table
 from ..operators.vectors import hash_text_vectors, piece_vectors, pool, token_piece_vectors
 from .common import PIECE_PATTERN, T, r6, sql_tokens
-from .q_structure import PROSE_FLAGS, prose_flag_predicates
-from .q_tokens import doc_tokens
+from .q_structure import PROSE_FLAGS
 from .registry import query
 
 DIMS, LAYERS = 16, 3

@@ -54,8 +54,8 @@ def read_code_tree(spark: SparkSession, root: str, glob: str | None = None) -> D
 
 
 def read_code_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Line-wise scan, one class per line.  ``line_no`` is not available
-    from a splittable text scan, so the key is (file, byte-range start, hash)."""
+    """Line-wise scan, one class per line.  A splittable text scan has
+    no line number, so the key is a hash of (file, line text)."""
     df = spark.read.text(path)
     return df.select(F.col("_metadata.file_path").alias("file_path"),
                      F.xxhash64(F.col("_metadata.file_path"), F.col("value")).alias("line_key"),
