@@ -11,7 +11,7 @@ from spanflow.sources.tables import TABLES
 
 SF = "/root/testdata/sf0.001"
 Q, O = load_all_plans()
-SLOW = {"probe_logistic", "probe_summary", "probe_multi", "probe_addition"}
+SLOW = {"probe_logistic", "probe_summary", "probe_multi"}
 
 
 def _norm(v):
