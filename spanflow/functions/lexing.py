@@ -30,6 +30,23 @@ JAVA_PATTERN = (
     r"|>>>=|<<=|>>=|>>>|\.\.\.|->|::|\+\+|--|&&|\|\||<<|>>|[-+*/%&|^!=<>]="
     r"|[\s\S])"
 )
+# Python source: comments, (triple-)quoted strings with prefixes, numbers,
+# identifiers, blanks, multi-character operators, then any single character.
+PYTHON_PATTERN = (
+    r"(#[^\n]*"
+    r'|(?:[rRbBuUfF]{0,2})(?:"""[\s\S]*?"""|\'\'\'[\s\S]*?\'\'\'|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\')'
+    r"|0[xXoObB][0-9a-fA-F_]+"
+    r"|[0-9][0-9_]*(?:\.[0-9_]*)?(?:[eE][+-]?[0-9]+)?[jJ]?"
+    r"|[\p{L}_][\p{L}\p{N}_]*"
+    r"|[ \t\n\r\f]+"
+    r"|\*\*=|//=|>>=|<<=|\.\.\.|->|:=|\*\*|//|<<|>>|[-+*/%&|^!=<>@]="
+    r"|[\s\S])"
+)
+# Python keywords; True/False/None label as the parser's lowercase node types.
+PYTHON_KEYWORDS = (
+    "and as assert async await break class continue def del elif else except finally for from "
+    "global if import in is lambda nonlocal not or pass raise return try while with yield").split()
+PYTHON_CONSTANTS = {"True": "true", "False": "false", "None": "none"}
 # Java reserved words plus the literals true/false; a token that is one of
 # these is labelled with its own text (as the parser's anonymous nodes are).
 JAVA_KEYWORDS = (
@@ -44,7 +61,7 @@ DECL_WORDS = ("boolean byte char double float int long short void public private
 WS_CLASS = r"^[ \t\n\r\f]"
 # ---------------------------------------------------------------------------
 
-PATTERNS = {"prose": PROSE_PATTERN, "pieces": PIECE_PATTERN, "java": JAVA_PATTERN}
+PATTERNS = {"prose": PROSE_PATTERN, "pieces": PIECE_PATTERN, "java": JAVA_PATTERN, "python": PYTHON_PATTERN}
 
 
 def pieces(text: Column, lang: str = "prose") -> Column:
@@ -56,10 +73,26 @@ def is_blank(piece: Column) -> Column:
     return piece.rlike(WS_CLASS)
 
 
-def is_comment(piece: Column) -> Column:
+def is_comment(piece: Column, lang: str = "java") -> Column:
+    if lang == "python":
+        return piece.startswith("#")
     return piece.startswith("//") | (piece.startswith("/*") & piece.endswith("*/") & (F.length(piece) >= 4))
 
 
+def python_label(text: Column) -> Column:
+    """F15 for Python: the parser's leaf types; keywords and punctuation
+    label themselves."""
+    kw = F.array(*[F.lit(k) for k in PYTHON_KEYWORDS])
+    const = F.create_map(*[x for k, v in PYTHON_CONSTANTS.items() for x in (F.lit(k), F.lit(v))])
+    return (F.when(text.rlike(r"^(0[xXoObB][0-9a-fA-F_]+|[0-9][0-9_]*)$"), F.lit("integer"))
+             .when(text.rlike(r"^[0-9]"), F.lit("float"))
+             .when(text.rlike(r"^[rRbBuUfF]{0,2}[\"']"), F.lit("string"))
+             .when(F.array_contains(kw, text), text)
+             .when(const[text].isNotNull(), const[text])
+             .when(text.rlike(r"^[\p{L}_][\p{L}\p{N}_]*$"), F.lit("identifier"))
+             .otherwise(text))
+
+
 def token_label(text: Column) -> Column:
     """the leaf type of a token.  Keywords and punctuation label
     themselves; literals and identifiers get their node type.  Type names
