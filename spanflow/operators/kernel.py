@@ -16,8 +16,12 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     many scan splits and is returned as is (no shuffle); an input with fewer
     partitions than the cluster's default parallelism (e.g. one small
     parquet file = one split) is spread round-robin first."""
-    n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+    try:
+        n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # no RDD view (e.g. a Spark Connect session): leave the plan as it is
+        return df
+    return df.repartition(n) if have < n else df
 
 
 def split_supported(df: DataFrame, lang_col: str, langs: Iterable[str]) -> tuple[DataFrame, DataFrame]:
