@@ -12,6 +12,7 @@ from ..operators import dataflow as D
 from ..operators.scan import group_positions
 from .common import T
 from .q_tokens import doc_tokens
+from .q_lists import list_chunk
 from .registry import query
 
 def hour():
@@ -64,7 +65,7 @@ def lineitem_acc(spark, sf):
     """lineitem as statements: statement = order, the first row (list order)
     is the assigned name (def), the others are the values."""
     li = T(spark, sf, "lineitem").select("l_orderkey", *LIST_ORDER)
-    p = group_positions(li, ["l_orderkey"], LIST_ORDER, "pos", chunk="l_linenumber")
+    p = group_positions(li, ["l_orderkey"], LIST_ORDER, "pos", chunk=list_chunk())
     return p.withColumn("role", F.when(F.col("pos") == 0, "def").otherwise("value"))
 
 

@@ -17,6 +17,12 @@ LIST_KEY = ["l_orderkey"]
 LIST_ORDER = ["l_linenumber", "l_partkey", "l_suppkey"]
 
 
+def list_chunk():
+    """Chunks of a (possibly hot) order along its list order: (line number,
+    part key / 1000) never decreases along (line number, part, supplier)."""
+    return F.struct(F.col("l_linenumber"), F.floor(F.col("l_partkey") / 1000).alias("pk"))
+
+
 @query("max_multihot", """
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
        (l_quantity = max(l_quantity) OVER (PARTITION BY l_orderkey))::INTEGER AS is_max
@@ -60,8 +66,7 @@ SELECT l_orderkey, unnest(generate_series(n, L - 1))::BIGINT AS pos, 0.0 AS l_qu
 FROM sizes, mx""")
 def pad_lists(spark, sf):
     li = T(spark, sf, "lineitem").select(*LIST_KEY, *LIST_ORDER, "l_quantity")
-    # chunks of a hot order: its line numbers (the first order column)
-    return pad_groups(li, LIST_KEY, LIST_ORDER, "l_quantity", 0.0, chunk="l_linenumber")
+    return pad_groups(li, LIST_KEY, LIST_ORDER, "l_quantity", 0.0, chunk=list_chunk())
 
 
 @query("first_n_per_group", """
