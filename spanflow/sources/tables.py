@@ -30,15 +30,15 @@ CODE_SCHEMA = T.StructType([
 def read_code_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """JSONL of ``{language, code}``.  Malformed lines are kept with the raw
     text in ``_corrupt_record`` (P6 quarantines them) instead of failing the job.
-    ``doc_id`` is the line's position key (file path + byte offset order is not
-    exposed by Spark, so we use a stable hash of path and line content)."""
+    ``doc_id`` is unique per line (two identical lines stay two records) and
+    stable for a given file layout, also when a lost task is recomputed
+    (split index and position in the split)."""
     df = (spark.read.schema(CODE_SCHEMA)
           .option("mode", "PERMISSIVE")
           .option("columnNameOfCorruptRecord", "_corrupt_record")
           .json(path))
     return df.select(
-        F.xxhash64(F.col("_metadata.file_path"), F.col("language"), F.col("code"),
-                   F.col("_corrupt_record")).alias("doc_id"),
+        F.monotonically_increasing_id().alias("doc_id"),
         "language", "code", "_corrupt_record",
         F.col("_metadata.file_path").alias("file_path"))
 
@@ -55,10 +55,10 @@ def read_code_tree(spark: SparkSession, root: str, glob: str | None = None) -> D
 
 def read_code_lines(spark: SparkSession, path: str) -> DataFrame:
     """Line-wise scan, one class per line.  A splittable text scan has
-    no line number, so the key is a hash of (file, line text)."""
+    no line number; the key is unique per line and stable for a file layout."""
     df = spark.read.text(path)
     return df.select(F.col("_metadata.file_path").alias("file_path"),
-                     F.xxhash64(F.col("_metadata.file_path"), F.col("value")).alias("line_key"),
+                     F.monotonically_increasing_id().alias("line_key"),
                      F.col("value").alias("code"))
 
 

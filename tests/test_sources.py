@@ -17,8 +17,9 @@ def test_jsonl_reader_quarantines_bad_lines(spark):
     d = _tmp()
     with open(os.path.join(d, "a.jsonl"), "w") as f:
         f.write(json.dumps({"language": "java", "code": "int a;"}) + "\n{broken\n")
+        f.write(json.dumps({"language": "java", "code": "int a;"}) + "\n")
     df = read_code_jsonl(spark, d).collect()
-    assert len(df) == 2
+    assert len(df) == 3 and len({r.doc_id for r in df}) == 3
     assert sum(r._corrupt_record is not None for r in df) == 1
 
 
