@@ -9,7 +9,7 @@ from ..operators import metrics as M
 from ..operators import probes as P
 from ..operators.align import align_spans
 from ..operators.generate import Config, gen_numeric
-from ..operators.kernel import drop_constant_targets, spread
+from ..operators.kernel import drop_constant_targets, right_size, spread
 from ..operators.tokens import by_doc, token_table
 from ..operators.vectors import hash_text_vectors, piece_vectors, pool, token_piece_vectors
 from .common import PIECE_PATTERN, T, r6, sql_tokens
@@ -156,7 +156,7 @@ def standardize(spark, sf):
 @query("probe_logistic")
 def probe_logistic(spark, sf):
     """M1 per target class of the embeddings (one-vs-rest), one layer."""
-    e = T(spark, sf, "embeddings").withColumn("split", hash_split("vec_id")).persist()
+    e = right_size(T(spark, sf, "embeddings").withColumn("split", hash_split("vec_id")).persist())
     classes = [r[0] for r in e.select("label").distinct().orderBy("label").collect()]
     stats = P._vector_stats(e.filter(F.col("split") == 0), "embedding")
     out = None
@@ -202,7 +202,7 @@ def probe_summary(spark, sf):
     flags = doc_flag_table(spark, sf).withColumn("split", hash_split("doc_id"))
     vecs = doc_vectors(spark, sf)
     # the probe loop reads the same input many times: keep it (recomputable from lineage on executor loss)
-    data = vecs.join(flags, "doc_id").persist()
+    data = right_size(vecs.join(flags, "doc_id").persist())
     counts = flags.filter(F.col("split") == 0).agg(*[F.count_distinct(f).alias(f) for f in PROSE_FLAGS]).first()
     keys = [f for f in PROSE_FLAGS if counts[f] > 1]
     specs = [(k, layer) for k in keys for layer in range(1, LAYERS + 1)]
