@@ -54,3 +54,15 @@ def prepared(df: DataFrame, path: str, keys: list[str]) -> DataFrame:
     todo = df if old is None else pending(df, old.select(*keys).distinct(), keys)
     todo.write.mode("append").parquet(path)
     return spark.read.parquet(path)
+
+
+def bucketed_documents(df: DataFrame, table: str, path: str, buckets: int, key: str = "doc_id") -> DataFrame:
+    """Store a documents table once, bucketed (and sorted) by ``key``, as an
+    external table at ``path`` (shared storage on a cluster).  A scan of it
+    reports hash partitioning on ``key``, so the per-document windows of the
+    token pipeline run without shuffling the text at all
+    (``token_table(..., partitioned=True)``).  ``buckets`` should give
+    partitions of a few hundred MB."""
+    (df.write.bucketBy(buckets, key).sortBy(key).mode("overwrite")
+       .option("path", path).saveAsTable(table))
+    return df.sparkSession.table(table)

@@ -48,3 +48,18 @@ def test_grammar_broadcasts_are_exactly_sized(spark):
     from spanflow.operators.grammar import BROADCAST_MAX_ROWS, counts
     p = _plan(spark, "weighted_sample")
     assert p.count("BroadcastExchange") == 2 and counts("bool", 3)[3] <= BROADCAST_MAX_ROWS
+
+
+def test_bucketed_documents_remove_the_shuffle(spark):
+    import tempfile
+
+    from spanflow.operators.tokens import token_table
+    from spanflow.sources import bucketed_documents
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    path = tempfile.mkdtemp(prefix="spanflow-bucketed-", dir="/tmp")
+    b = bucketed_documents(docs, "docs_bucketed_test", path, 4)
+    tok = token_table(b, with_lines=False, partitioned=True)
+    p = tok._jdf.queryExecution().executedPlan().toString()
+    assert _exchanges(p) == 0
+    ref = token_table(docs, with_lines=False)
+    assert tok.exceptAll(ref).count() == 0 and ref.exceptAll(tok).count() == 0
