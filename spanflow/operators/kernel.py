@@ -125,6 +125,6 @@ def with_split(df: DataFrame, id_col: str, seed: int = 42, test_pct: int = 50) -
     return df.withColumn("split", hash_split(id_col, seed, test_pct))
 
 
-__all__ = ["split_supported", "select_configs", "drop_types", "quarantine", "quarantine_counts",
+__all__ = ["spread", "right_size", "split_supported", "select_configs", "drop_types", "quarantine", "quarantine_counts",
            "drop_constant_targets", "named_tokens", "true_features", "pending", "first_docs",
            "first_n_per_group", "with_split", "draw_u32"]
