@@ -63,7 +63,21 @@ def statement_edges(acc: DataFrame, stmt: list[str], role: str = "role", idx: st
     one or two targets, so this is linear in the accesses."""
     targets = acc.filter(F.col(role) == "def").select(*stmt, F.col(idx).alias("dst"))
     sources = acc.filter(F.col(role).isin("use", "value")).select(*stmt, F.col(idx).alias("src"))
-    return targets.join(sources, stmt, "left").select(*stmt, "src", "dst")
+    return outer_as_inner(targets, sources, stmt).select(*stmt, "src", "dst")
+
+
+def outer_as_inner(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """``left LEFT JOIN right`` written as an inner join plus the unmatched
+    left rows.  AQE can split a hot key of *either* side of an inner join
+    (of a left outer join only the left side), and the unmatched rows come
+    from an anti join against the distinct right keys (deduplicated
+    map-side, so a hot key is one row per task there)."""
+    matched = left.join(right, keys, "inner")
+    alone = left.join(right.select(*keys).distinct(), keys, "left_anti")
+    for f in right.schema.fields:
+        if f.name not in keys:
+            alone = alone.withColumn(f.name, F.lit(None).cast(f.dataType))
+    return matched.unionByName(alone.select(*matched.columns))
 
 
 def update_edges(acc: DataFrame, stmt: list[str], idx: str = "idx") -> DataFrame:

@@ -91,8 +91,9 @@ def true_features(flags: Iterable[str]) -> Column:
 
 
 def pending(work: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
-    """Work whose key has no output yet."""
-    return work.join(done.select(*keys), keys, "left_anti")
+    """Work whose key has no output yet.  The done keys are made
+    distinct first (map-side), so a key with a lot of output is one row."""
+    return work.join(done.select(*keys).distinct(), keys, "left_anti")
 
 
 def first_docs(df: DataFrame, order: list[str], n: int = 1001) -> DataFrame:

@@ -84,8 +84,9 @@ def definition_edges(spark, sf):
     o = T(spark, sf, "orders").select(F.col("o_orderkey"))
     li = T(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").alias("src_line"),
                                          F.col("l_partkey").alias("src_part"), F.col("l_suppkey").alias("src_supp"))
-    # definition with or without initial values: the left outer join keeps source-less declarations
-    return o.join(li, "o_orderkey", "left")
+    # definition with or without initial values: source-less declarations are kept; written as an
+    # inner join + unmatched orders so that AQE can split a hot order on the lineitem side
+    return D.outer_as_inner(o, li, ["o_orderkey"])
 
 
 @query("update_edges", """

@@ -67,3 +67,11 @@ def test_update_edges_are_factorized(spark):
     acc = spark.createDataFrame([(0, 1), (0, 2), (0, 3), (1, 4)], "stmt int, idx int")
     r = {x.stmt: (x.n_members, x.n_edges) for x in D.update_edges(acc, ["stmt"]).collect()}
     assert r == {0: (3, 9), 1: (1, 1)}
+
+
+def test_outer_as_inner_equals_left_join(spark):
+    left = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "k int, l string")
+    right = spark.createDataFrame([(1, 10), (1, 11), (3, 30), (4, 40)], "k int, r int")
+    got = sorted(tuple(r) for r in D.outer_as_inner(left, right, ["k"]).select("k", "l", "r").collect())
+    exp = sorted(tuple(r) for r in left.join(right, "k", "left").select("k", "l", "r").collect())
+    assert got == exp
