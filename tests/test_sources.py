@@ -107,3 +107,16 @@ def test_comment_stripping(spark):
         strip_comments(F.col("j"), "java").alias("j"), strip_comments(F.col("p"), "python").alias("p")).first()
     assert r.j == 'int a;  \nString s = "// not a comment"; int b;   int c;'
     assert r.p == 'def f():\n    x = "#no"  \n    return x'
+
+
+def test_method_features_roundtrip(spark):
+    from spanflow.operators.structure import method_features
+    code = "class FooTest {\n  public void test() { while (x) { f(); } }\n  int g() throws E { return 1; }\n}"
+    docs = spark.createDataFrame([(1, code)], "doc_id long, text string")
+    rows = {r.method: r for r in method_features(docs).collect()}
+    assert rows["test"].code == "public void test() { while (x) { f(); } }"
+    assert rows["test"].hasWhileStatement and rows["test"].hasFunctionCalls and rows["g"].throwsException
+    d = _tmp()
+    write_features(method_features(docs).drop("doc_id"), d)
+    back = {r.method: r for r in read_features(spark, d).collect()}
+    assert back["g"].throwsException is True and back["g"].hasWhileStatement is False
