@@ -9,14 +9,15 @@
    most central document it shares one with (the one whose signatures are the
    most frequent), and its distance to that centre is computed.  Within a group,
    members are dealt by distance band and hash into blocks of bounded size.
-4. *Matrix.*  Pairs of blocks are candidates if they share a signature or a
-   group, and only if their bands allow a link: the Jaccard distance is a
+4. *Matrix.*  The matrix holds each block's union of signatures.  A document is a
+   query to a block if it shares as many signatures with that union as a similar
+   set of its size must, and if the bands allow a link: the Jaccard distance is a
    metric, so members whose distances to the centre differ by more than the limit
    are not similar, and members within the limit are linked through the centre.
-   A block's token union bounds the overlap of every query of the other block; only
-   blocks with qualifying queries are opened, and their overlaps counted exactly.
+   Where a block is met, its union of shingles bounds every query's overlap once more;
+   only for queries that still qualify are the members opened and counted exactly.
 5. Links between different texts that are not yet connected are returned from each
-   pair of blocks as a spanning forest, and components are labelled in Spark.
+   block as a spanning forest, and components are labelled in Spark.
 
 No pair of documents is emitted that is not a link, no group is collected
 whole, and nothing is collected to the driver.  Shingles are 64-bit hashes.
@@ -29,6 +30,7 @@ non-NULL id in it; an empty table gives an empty result; other columns are carri
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 
 import numpy as np
 import pandas as pd
@@ -71,46 +73,51 @@ class Signatures:
         self.percent = percent
         self.edges = [1]
 
-    def _class(self, n: int) -> int:
-        while self.edges[-1] <= n:  # a class spans the ratio limit ** -4
+    def _reach(self, full) -> None:
+        while not full():  # a class spans the ratio limit ** -4
             s = self.edges[-1]
             self.edges.append(max(s + 1, int(s * (100 / self.percent) ** 4)))
-        return int(np.searchsorted(self.edges, n, "right")) - 1
 
-    def schemes(self, n: int) -> list[tuple[int, int]]:
-        """(scheme, parts): a scheme holds the pairs whose larger set is in its
-        class; a set is also in the next one if a similar set may be."""
-        c = self._class(n)
+    def schemes(self, n: int) -> list[tuple[int, int, int]]:
+        """(scheme, parts, largest size): a scheme holds the pairs whose larger set
+        is in its class; a set is also in the next one if a similar set may be."""
+        self._reach(lambda: self.edges[-1] > n)
+        c = bisect_right(self.edges, n) - 1
         out = [c] + ([c + 1] if n * 100 // self.percent >= self.edges[c + 1] else [])
-        self._class(self.edges[out[-1] + 1] if out[-1] + 1 < len(self.edges) else self.edges[-1])
+        self._reach(lambda: len(self.edges) > out[-1] + 1)
         top = [self.edges[k + 1] - 1 for k in out]
-        return [(k, 2 * b * (100 - self.percent) // (100 + self.percent) + 2) for k, b in zip(out, top)]
+        return [(k, 2 * b * (100 - self.percent) // (100 + self.percent) + 2, b) for k, b in zip(out, top)]
 
-    def __call__(self, tokens: np.ndarray) -> np.ndarray:
-        mixed, out = mix64(tokens), []
-        for scheme, m in self.schemes(len(tokens)):
+    def __call__(self, tokens: np.ndarray) -> tuple[np.ndarray, list[int]]:
+        """The signatures (the lowest bit is that of the scheme), and how many of
+        each parity a similar set shares at least (0: no such scheme)."""
+        mixed, out, needs, n = mix64(tokens), [], [0, 0], len(tokens)
+        for scheme, m, top in self.schemes(n):
             part = ((tokens >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
             first = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1])
             sums, which = np.add.reduceat(mixed, first), part[first]
-            tag = mix64(which + np.uint64(scheme << 40))
-            out.append(mix64(sums ^ tag))
+            made = [mix64(sums ^ mix64(which + np.uint64(scheme << 40)))]
             # with two parts to spare, one empty part needs no signature
             empty = np.setdiff1d(np.arange(m, dtype=np.uint64), which)
             if len(empty) > 1:
-                out.append(mix64(mix64(empty + np.uint64(scheme << 40)) + _B))
-        return np.concatenate(out)
+                made.append(mix64(mix64(empty + np.uint64(scheme << 40)) + _B))
+            out += [(x & ~np.uint64(1)) | np.uint64(scheme & 1) for x in made]
+            other = max(n, min(top, n * 100 // self.percent))
+            differ = (n + other) * (100 - self.percent) // (100 + self.percent)
+            needs[scheme & 1] = max(1, m - differ - 1)
+        return np.unique(np.concatenate(out)), needs
 
 
 def shingle_rows(docs: DataFrame, text: str, keep: list[str], k: int, percent: int | None) -> DataFrame:
     """The kept columns with n_shingles and set_key (NULL for an empty set), and
     either the signatures or, without a limit, the shingles."""
-    last = ("tokens", "binary") if percent is None else ("signatures", "array<bigint>")
+    last = [("tokens", "binary")] if percent is None else [("signatures", "array<bigint>"), ("needs", "array<int>")]
 
     def make():
         hashes, sign = WordHashes(), Signatures(percent or PERCENT)
 
         def work(cols):
-            out = [[], [], []]
+            out = [[] for _ in range(2 + len(last))]
             for t in cols[0]:
                 s = shingle_set(blank_words(t.lower()) if t else [], hashes, k)
                 raw = s.astype("<u8").tobytes()
@@ -119,10 +126,12 @@ def shingle_rows(docs: DataFrame, text: str, keep: list[str], k: int, percent: i
                 if percent is None:
                     out[2].append(raw)
                 else:
-                    out[2].append(sign(s).view(np.int64) if len(s) else [])
+                    signatures, needs = sign(s) if len(s) else (s, [0, 0])
+                    out[2].append(signatures.view(np.int64))
+                    out[3].append(needs)
             return out
         return work
-    return annotate(docs, [quoted(text)], [("n_shingles", "bigint"), ("set_key", "binary"), last], make, keep)
+    return annotate(docs, [quoted(text)], [("n_shingles", "bigint"), ("set_key", "binary"), *last], make, keep)
 
 
 def _overlap(rows: DataFrame, a: str, b: str, keep: list[str]) -> DataFrame:
@@ -209,11 +218,11 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int =
     marked = shingle_rows(rows, "text", ["doc", "id"], k, percent)
     marked = stored(marked, "marked")
     reps = (marked.where(F.col("set_key").isNotNull()).groupBy("set_key")
-            .agg(F.min_by(F.struct("doc", "signatures"), "doc").alias("one"), F.min("id").alias("first_id"),
+            .agg(F.min_by(F.struct("doc", "signatures", "needs"), "doc").alias("one"), F.min("id").alias("first_id"),
                  F.first("n_shingles").alias("n")))
     reps = stored(reps.select(F.monotonically_increasing_id().alias("rid"), "set_key", "first_id", "n",
-                              F.col("one.doc").alias("doc"), F.col("one.signatures").alias("signatures")), "reps")
-    postings = reps.select("rid", "n", F.explode(F.array_distinct("signatures")).alias("sig"))
+                              F.col("one.doc").alias("doc"), F.col("one.signatures").alias("signatures"), F.col("one.needs").alias("needs")), "reps")
+    postings = reps.select("rid", "n", "needs", F.explode("signatures").alias("sig"))
     shared = (postings.groupBy("sig").agg(F.count("*").alias("held"), F.min("rid").alias("lo"), F.max("rid").alias("hi"))
               .where(F.col("lo") != F.col("hi")).select("sig", "held"))
     contested = stored(postings.join(shared, "sig"), "contested")
@@ -241,26 +250,26 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int =
     placed = stored(near.select("rid", "home", "band", "star", F.xxhash64(
         "home", "band", F.pmod(F.xxhash64("rid"), F.col("blocks"))).alias("block")), "placed")
 
-    # pairs of blocks: of one group in bands that allow a link, or across groups by a signature
-    blocks = stored(placed.groupBy("block", "home", "band").agg(F.min("star").alias("s0"), F.max("star").alias("s1")), "blocks")
-    x, y = blocks.alias("x"), blocks.alias("y")
-    inside = x.join(y, F.col("x.home") == F.col("y.home")).where(
-        (F.col("x.block") <= F.col("y.block")) & (F.abs(F.col("x.band") - F.col("y.band")) <= 1)
-        & ~((F.col("x.s0") == F.col("x.s1")) & (F.col("y.s0") == F.col("y.s1")) & (F.col("x.s0") == F.col("y.s0"))))
-    inside = inside.select(F.col("x.block").alias("x"), F.col("y.block").alias("y"))
-    matrix = contested.select("sig", "rid").join(placed.select("rid", "block", "home"), "rid").select("sig", "block", "home").distinct()
-    mixed = matrix.groupBy("sig").agg(F.min("home").alias("h0"), F.max("home").alias("h1")).where("h0 != h1").select("sig")
-    matrix = stored(matrix.join(mixed, "sig", "left_semi"), "matrix")
-    u, v = matrix.alias("u"), matrix.alias("v")
-    across = (u.join(v, F.col("u.sig") == F.col("v.sig")).where((F.col("u.block") < F.col("v.block")) & (F.col("u.home") != F.col("v.home")))
-              .select(F.col("u.block").alias("x"), F.col("v.block").alias("y")).distinct())
-    pairs = inside.union(across)
-    pairs = stored(pairs.select(F.monotonically_increasing_id().alias("pair"), "x", "y"), "pairs")
-    ends = pairs.select("pair", F.lit(0).alias("side"), F.col("x").alias("block")).union(
-        pairs.where("x != y").select("pair", F.lit(1).alias("side"), F.col("y").alias("block")))
-    opened = (ends.join(placed.select("block", "rid", "star"), "block").join(members.select("rid", "tokens"), "rid")
-              .select("pair", "side", "rid", "star", "tokens"))
-    found = opened.groupBy("pair").applyInPandas(_open_blocks(percent), "a long, b long")
+    # token-group matrix over signatures: which block holds which, in how many stars
+    held = stored(contested.select("sig", "rid", "needs").join(placed, "rid"), "held")
+    matrix = held.groupBy("sig", "block").agg(F.first("home").alias("g_home"), F.first("band").alias("g_band"),
+                                              F.min("star").alias("s0"), F.max("star").alias("s1"))
+    asked = held.join(matrix.withColumnRenamed("block", "g"), "sig").where(
+        (F.col("g") < F.col("block")) & ((F.col("s0") != F.col("s1")) | (F.col("s0") != F.col("star")))
+        & ((F.col("home") != F.col("g_home")) | (F.abs(F.col("band") - F.col("g_band")) <= 1)))
+    odd = F.col("sig").bitwiseAND(F.lit(1).cast("bigint"))
+    met = (asked.groupBy("rid", "g").agg(F.sum(1 - odd).alias("even"), F.sum(odd).alias("odd"), F.first("needs").alias("needs"))
+           .where(((F.col("needs")[0] > 0) & (F.col("even") >= F.col("needs")[0]))
+                  | ((F.col("needs")[1] > 0) & (F.col("odd") >= F.col("needs")[1]))).select("rid", F.col("g").alias("block")))
+    met = stored(met.join(members.select("rid", "n"), "rid"), "met")
+    parts = met.groupBy("block").agg((F.floor(F.sum("n") / (4 * BLOCK_TOKENS)) + 1).alias("parts"))
+    met = met.join(parts, "block").select("block", "rid", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int").alias("part"))
+    own = placed.groupBy("block").agg(F.min("star").alias("s0"), F.max("star").alias("s1")).where("s0 != s1")
+    rounds = met.select("block", "part").distinct().union(own.select("block", F.lit(-1)))
+    sides = (placed.select("block", "rid", "star").join(rounds, "block").select("block", "part", F.lit(0).alias("side"), "rid", "star")
+             .union(met.join(placed.select("rid", "star"), "rid").select("block", "part", F.lit(1), "rid", "star")))
+    opened = sides.join(members.select("rid", "tokens"), "rid").select("block", "part", "side", "rid", "star", "tokens")
+    found = opened.groupBy("block", "part").applyInPandas(_open_blocks(percent), "a long, b long")
     stars = placed.where((F.col("band") == 0) & (F.col("rid") != F.col("home"))).select(F.col("rid").alias("a"), F.col("home").alias("b"))
     return marked.select("doc", "id", "n_shingles", "set_key"), reps, stars.union(found)
 
