@@ -57,7 +57,7 @@ def annotate(df: DataFrame, inputs: list[Column], fields: list[tuple[str, str]],
 
     ``inputs`` are the columns that the function reads (strings are handed over
     as UTF-8 bytes).  ``make()`` is called once per task and returns a function
-    from a list of input lists to a list of output lists, one per field.  With
+    from a list of input lists to a list of output lists or arrays, one per field.  With
     ``explode`` the function returns the row numbers first, and the kept
     columns are repeated by them.  A kept column whose name is also a field is
     replaced by the field.

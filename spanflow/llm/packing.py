@@ -21,6 +21,7 @@ gives an empty packing.  Only a document longer than the capacity is cut.
 from __future__ import annotations
 
 import zlib
+from array import array
 from bisect import bisect_right
 from collections import defaultdict
 
@@ -34,7 +35,7 @@ CAPACITY = 4096
 END = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a worker remembers (about 200 bytes each).
-REMEMBERED = 400_000
+REMEMBERED = 1_500_000
 #: Pieces numbered by one task.
 BUCKET_ROWS = 200_000
 
@@ -65,7 +66,7 @@ class WordTokenizer:
         for at in range(0, len(new), 20_000):
             part = new[at:at + 20_000]
             got = self.encode([w.decode() for w in part], add_special_tokens=False)
-            self.seen.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, got))
+            self.seen.update((w, array("I", e.ids).tobytes()) for w, e in zip(part, got))
 
     def ids(self, texts: list[bytes | None]) -> list[bytes]:
         split = [self.words(t) if t else [] for t in texts]
