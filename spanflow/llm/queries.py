@@ -9,7 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, line_dedup, packing, quality
+from . import (decontaminate, jaccard_join, langid, license, line_dedup, packing, quality, substring_dedup, url_filter,
+               warc)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +124,44 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, doc_id) AS c
 FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)""")
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.components(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = url_filter.judge(table(spark, sf_dir, "pages"))
+    return rows.select("page_id", "host", "path", "rule", "verdict", "trust", "distrust", "suspicion")
+
+
+@query()
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = license.scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return rows.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+@query(f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), {BLANK_SQL}) AS w FROM documents),
+p AS (SELECT r, i, array_to_string(w[i:i + 34], ' ') AS g FROM d, unnest(range(1, len(w) - 33)) AS t(i)),
+hit AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY g) AS c FROM p) WHERE c > 1),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS i FROM hit),
+lst AS (SELECT r, list(i) AS x FROM gone GROUP BY 1),
+k AS (SELECT doc_id, w, coalesce(len(x), 0) AS n_removed, d.r FROM d LEFT JOIN lst USING (r)),
+left_over AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS t FROM
+  (SELECT d.r, generate_subscripts(w, 1) AS i, unnest(w) AS word FROM d) u ANTI JOIN gone USING (r, i) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM k LEFT JOIN left_over USING (r)""")
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"), keep=["doc_id"], digest=True)
+    return rows.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query()
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = langid.identify(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return rows.select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query()
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = warc.archived(table(spark, sf_dir, "pages"))
+    return rows.select(F.col("page").alias("page_id"), F.col("bytes").alias("payload_bytes"),
+                       F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to", "intact")
