@@ -85,7 +85,7 @@ def annotate(df: DataFrame, inputs: list[Column], fields: list[tuple[str, str]],
             if explode:
                 rows = pa.array(out[0], pa.int64())
                 own, out = [c.take(rows) for c in own], out[1:]
-            own += [c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(out, types)]
+            own += [pa.array(c, t) for c, t in zip(out, types)]
             yield pa.RecordBatch.from_arrays(own, names=[f.name for f in schema.fields])
 
     return src.mapInArrow(run, schema)

@@ -1,13 +1,14 @@
 """Exact substring deduplication by level-wise doubling.
 
 Windows of ``words`` consecutive words that occur more than once are found from
-short to long: lengths double (9, 18, 35 for 35 words) and only windows whose parts
-of the length before were repeated go on to the next; it ends when none is left.
+short to long: lengths double (18, 35 for 35 words; 18, 36, 72, 100 for 100) and
+only windows whose parts of the length before were repeated go on to the next; it
+ends when none is left.
 
-* At the first two lengths one witness speaks for each full window: the smallest
+* At the shorter lengths one witness speaks for each full window: the smallest
   hash of the short windows inside it.  Equal full windows have equal witnesses, so
-  one whose witness occurs once occurs once itself.  Witnesses are a few hundredths
-  of all positions.
+  one whose witness occurs once occurs once itself.  Witnesses are about a tenth of
+  all positions.
 * At full length the surviving windows themselves are counted.
 
 Equal texts are counted first: one of them takes part for all, with their number as
@@ -16,7 +17,7 @@ exchange.  Counting adds up before its shuffle, so a passage in a third of all
 documents is one row a task; positions come back through a join that Spark splits.
 
 Hashes of windows have 64 bits at the short lengths (a collision only costs work)
-and 128 at full length.
+and 96 at full length.
 
 Defined cases: NULL and empty texts have no words; texts shorter than the window
 keep everything; repeated rows are copies of each other, so their windows are
@@ -32,15 +33,20 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, annotate, blank_words, fresh, mix64, quoted
+from .common import WordHashes, annotate, blank_words, fresh, mix64, quoted, stored
 
 WORDS = 35
+#: Words of the windows that are looked at first.
+SHORTEST = 18
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-def levels(words: int) -> list[int]:
+def levels(words: int, shortest: int = SHORTEST) -> list[int]:
     """Window lengths from short to full, each at most twice the one before."""
-    return [-(-words // 4), -(-words // 2), words] if words >= 8 else [words]
+    out = [min(words, shortest)]
+    while out[-1] < words:
+        out.append(min(words, 2 * out[-1]))
+    return out
 
 
 def window_hashes(h: np.ndarray, k: int, mult: np.uint64 = _A) -> np.ndarray:
@@ -76,14 +82,14 @@ def witnesses(h: np.ndarray, k: int, words: int) -> tuple[np.ndarray, np.ndarray
 
 def _emit(rows: list[int], arrays: list[list[np.ndarray]], counts: list[int]) -> list:
     which = np.repeat(np.array(rows, np.int64), counts) if rows else np.zeros(0, np.int64)
-    return [which] + [np.concatenate(a) if a else np.zeros(0, np.int64) for a in arrays]
+    return [which] + [np.concatenate(a) if a else [] for a in arrays]
 
 
 def _candidates(texts: DataFrame, level: int, lengths: list[int], survivors: bool) -> DataFrame:
-    """key, tag, weight, pos and hash of what the level has to count."""
+    """rid, weight, pos and hash of what the level has to count."""
     k, words = lengths[level], lengths[-1]
     full = k == words
-    fields = [("pos", "bigint"), ("hash", "bigint")] + ([("hash2", "bigint")] if full else [])
+    fields = [("pos", "int"), ("hash", "bigint")] + ([("hash2", "int")] if full else [])
 
     def make():
         hashes = WordHashes()
@@ -104,28 +110,28 @@ def _candidates(texts: DataFrame, level: int, lengths: list[int], survivors: boo
                 if full:
                     at = np.flatnonzero(alive)
                     first = window_hashes(h, k)
-                    two.append(window_hashes(h ^ _A, k, _B)[at].view(np.int64))
+                    two.append((window_hashes(h ^ _A, k, _B)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32))
                 else:
                     first, seen = witnesses(h, k, words)
                     at = np.unique(seen[alive])
                 rows.append(row)
                 counts.append(len(at))
-                pos.append(at.astype(np.int64))
+                pos.append(at.astype(np.int32))
                 one.append(first[at].view(np.int64))
             return _emit(rows, [pos, one] + ([two] if full else []), counts)
         return work
     inputs = [F.col("text")] + ([F.col("places")] if survivors else [])
-    return annotate(texts, inputs, fields, make, ["key", "tag", "weight"], explode=True)
+    return annotate(texts, inputs, fields, make, ["rid", "weight"], explode=True)
 
 
 def _repeated(found: DataFrame, last: bool) -> DataFrame:
-    """key, tag, weight and the places of the windows that occur twice or more."""
+    """rid, weight and the places of the windows that occur twice or more."""
     by = ["hash", "hash2"] if last else ["hash"]
     seen = found.groupBy(*by).agg(F.sum("weight").alias("w")).where("w > 1").select(*by)
     # of texts with copies everything is repeated: at the last level nothing is asked
     asked = found.where("weight = 1") if last else found
     back = asked.join(seen, by, "left_semi")
-    return back.groupBy("key", "tag").agg(F.first("weight").alias("weight"), F.collect_set("pos").alias("places"))
+    return back.groupBy("rid").agg(F.first("weight").alias("weight"), F.collect_set("pos").alias("places"))
 
 
 def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS,
@@ -134,7 +140,7 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     joined by blanks, or with ``digest`` kept_sha256 of that."""
     lengths = levels(words)
     own = [c for c in (docs.columns if keep is None else keep)]
-    names = {c: fresh(c, ["key", "tag", "weight", "places", "text", "copies", "lead", "who"]) for c in own}
+    names = {c: fresh(c, ["key", "tag", "rid", "weight", "places", "text", "copies", "lead", "who"]) for c in own}
     body = quoted(text).cast("string")
     who = F.xxhash64(quoted(doc_id))
     # a text's key is 64 bits and its tag 40 more
@@ -143,15 +149,19 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
                        *[quoted(c).alias(names[c]) for c in own if c != text])
     slim = base.select("key", "tag", "who")
     copies = slim.groupBy("key", "tag").agg(F.count("*").alias("copies"), F.min("who").alias("lead"))
+    copies = stored(copies.withColumn("rid", F.monotonically_increasing_id()), "texts")
     dealt = base.repartition(F.col("key"), F.col("tag"))
     weight = F.least(F.col("copies"), F.lit(2)).cast("int").alias("weight")
-    texts = dealt.join(copies, ["key", "tag"]).where("who = lead").select("key", "tag", weight, "text")
+    texts = dealt.join(copies, ["key", "tag"]).where("who = lead").select("key", "tag", "rid", weight, "text")
     places = None
     for level, _ in enumerate(lengths):
-        src = texts if places is None else texts.drop("weight").join(places, ["key", "tag"])
+        src = texts
+        if places is not None:
+            found = copies.join(places, "rid").select("key", "tag", "lead", "rid", "weight", "places")
+            src = dealt.join(found, ["key", "tag"]).where("who = lead")
         places = _repeated(_candidates(src, level, lengths, places is not None), level == len(lengths) - 1)
-    rows = (dealt.join(copies.select("key", "tag", "copies"), ["key", "tag"])
-            .join(places.select("key", "tag", "places"), ["key", "tag"], "left"))
+    found = copies.join(places.select("rid", "places"), "rid", "left").select("key", "tag", "copies", "places")
+    rows = dealt.join(found, ["key", "tag"])
     fields = [("n_words", "bigint"), ("n_removed", "bigint"), ("kept_sha256" if digest else "kept", "string")]
 
     def make():
