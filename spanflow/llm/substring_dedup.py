@@ -139,17 +139,16 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """``docs`` with n_words, n_removed and ``kept``: the words that are left,
     joined by blanks, or with ``digest`` kept_sha256 of that."""
     lengths = levels(words)
-    own = [c for c in (docs.columns if keep is None else keep)]
-    names = {c: fresh(c, ["key", "tag", "rid", "weight", "places", "text", "copies", "lead", "who"]) for c in own}
+    own = docs.columns if keep is None else keep
+    key, tag = fresh("key", docs.columns), fresh("tag", docs.columns)
     body = quoted(text).cast("string")
-    who = F.xxhash64(quoted(doc_id))
     # a text's key is 64 bits and its tag 40 more
-    tag = F.conv(F.substring(F.md5(F.coalesce(body, F.lit("")).cast("binary")), 1, 10), 16, 10).cast("bigint")
-    base = docs.select(F.xxhash64(body).alias("key"), tag.alias("tag"), who.alias("who"), body.alias("text"),
-                       *[quoted(c).alias(names[c]) for c in own if c != text])
-    slim = base.select("key", "tag", "who")
-    copies = slim.groupBy("key", "tag").agg(F.count("*").alias("copies"), F.min("who").alias("lead"))
+    keys = {key: F.xxhash64(body),
+            tag: F.conv(F.substring(F.md5(F.coalesce(body, F.lit("")).cast("binary")), 1, 10), 16, 10).cast("bigint")}
+    base = docs.select(keys[key].alias("key"), keys[tag].alias("tag"), F.xxhash64(quoted(doc_id)).alias("who"), body.alias("text"))
+    copies = base.groupBy("key", "tag").agg(F.count("*").alias("copies"), F.min("who").alias("lead"))
     copies = stored(copies.withColumn("rid", F.monotonically_increasing_id()), "texts")
+    # every level and the end read this one exchange: it must have the same columns in all
     dealt = base.repartition(F.col("key"), F.col("tag"))
     weight = F.least(F.col("copies"), F.lit(2)).cast("int").alias("weight")
     texts = dealt.join(copies, ["key", "tag"]).where("who = lead").select("key", "tag", "rid", weight, "text")
@@ -160,8 +159,8 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
             found = copies.join(places, "rid").select("key", "tag", "lead", "rid", "weight", "places")
             src = dealt.join(found, ["key", "tag"]).where("who = lead")
         places = _repeated(_candidates(src, level, lengths, places is not None), level == len(lengths) - 1)
-    found = copies.join(places.select("rid", "places"), "rid", "left").select("key", "tag", "copies", "places")
-    rows = dealt.join(found, ["key", "tag"])
+    found = copies.join(places.select("rid", "places"), "rid", "left").select("key", "tag", "lead", "copies", "places")
+    rows = dealt.join(found, ["key", "tag"]).where("who = lead")
     fields = [("n_words", "bigint"), ("n_removed", "bigint"), ("kept_sha256" if digest else "kept", "string")]
 
     def make():
@@ -187,7 +186,9 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
                 out[2].append(hashlib.sha256(joined).hexdigest() if digest else joined.decode())
             return out
         return work
-    done = annotate(rows, [F.col("text"), F.col("copies"), F.col("places")], fields, make,
-                    [names[c] for c in own if c != text] + (["text"] if text in own else []))
+    done = annotate(rows, [F.col("text"), F.col("copies"), F.col("places")], fields, make, ["key", "tag"])
+    # rows of equal id and text are led by all of them
+    done = done.dropDuplicates(["key", "tag"]).withColumnsRenamed({"key": key, "tag": tag})
     made = {n for n, _ in fields}
-    return done.select(*[quoted("text" if c == text else names[c]).alias(c) for c in own if c.lower() not in made], *[n for n, _ in fields])
+    carried = docs.select(*[quoted(c) for c in own if c.lower() not in made], *[c.alias(n) for n, c in keys.items()])
+    return carried.join(done, [key, tag]).drop(key, tag)
