@@ -16,14 +16,15 @@ from pyspark.sql import functions as F
 PROSE_PATTERN = r"([\p{L}\p{M}\p{N}_]+|[ \t\n\r\f]+|[^\p{L}\p{M}\p{N}_ \t\n\r\f])"
 # Sub-word pieces of at most 4 characters: the second tokenization for J2.
 PIECE_PATTERN = r"([\p{L}\p{M}\p{N}_]{1,4}|[ \t\n\r\f]+|[^\p{L}\p{M}\p{N}_ \t\n\r\f])"
-# Java source: comments, string and char literals, numbers, identifiers,
+# Java source (loops over literals are possessive: a long literal must not use up
+# the regex stack): comments, string and char literals, numbers, identifiers,
 # blanks, multi-character operators, then any single character.
 JAVA_PATTERN = (
     r"(/\*[\s\S]*?\*/"
     r"|//[^\n]*"
-    r'|"(?:\\.|[^"\\\n])*"'
-    r"|'(?:\\.|[^'\\\n])*'"
-    r"|0[xX][0-9a-fA-F_]+[lL]?"
+    r'|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"'
+    r"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"
+    r"|0[xX][0-9a-fA-F_]+[lL]?|0[bB][01_]+[lL]?"
     r"|[0-9][0-9_]*(?:\.[0-9_]+)?(?:[eE][+-]?[0-9]+)?[fFdDlL]?"
     r"|[\p{L}_$][\p{L}\p{N}_$]*"
     r"|[ \t\n\r\f]+"
@@ -34,7 +35,7 @@ JAVA_PATTERN = (
 # identifiers, blanks, multi-character operators, then any single character.
 PYTHON_PATTERN = (
     r"(#[^\n]*"
-    r'|(?:[rRbBuUfF]{0,2})(?:"""[\s\S]*?"""|\'\'\'[\s\S]*?\'\'\'|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\')'
+    r'|(?:[rRbBuUfF]{0,2})(?:"""[\s\S]*?"""|\'\'\'[\s\S]*?\'\'\'|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|\'[^\'\\\n]*+(?:\\.[^\'\\\n]*+)*+\')'
     r"|0[xXoObB][0-9a-fA-F_]+"
     r"|[0-9][0-9_]*(?:\.[0-9_]*)?(?:[eE][+-]?[0-9]+)?[jJ]?"
     r"|[\p{L}_][\p{L}\p{N}_]*"
@@ -59,6 +60,8 @@ JAVA_KEYWORDS = (
 DECL_WORDS = ("boolean byte char double float int long short void public private protected "
               "static final abstract synchronized native").split()
 WS_CLASS = r"^[ \t\n\r\f]"
+# Decimal integers of Java: no leading zero, underscores between digits.
+DECIMAL = r"^(0|[1-9][0-9_]*)[lL]?$"
 # ---------------------------------------------------------------------------
 
 PATTERNS = {"prose": PROSE_PATTERN, "pieces": PIECE_PATTERN, "java": JAVA_PATTERN, "python": PYTHON_PATTERN}
@@ -98,39 +101,44 @@ def token_label(text: Column) -> Column:
     themselves; literals and identifiers get their node type.  Type names
     stay ``identifier`` (no parser: a documented difference)."""
     kw = F.array(*[F.lit(k) for k in JAVA_KEYWORDS])
-    return (F.when(text.rlike(r"^[0-9]+[lL]?$"), F.lit("decimal_integer_literal"))
+    return (F.when(text.rlike(DECIMAL), F.lit("decimal_integer_literal"))
              .when(text.rlike(r"^0[xX]"), F.lit("hex_integer_literal"))
+             .when(text.rlike(r"^0[bB][01_]+[lL]?$"), F.lit("binary_integer_literal"))
+             .when(text.rlike(r"^0[0-7_]+[lL]?$"), F.lit("octal_integer_literal"))
              .when(text.rlike(r"^[0-9][0-9_]*(\.[0-9_]+)?([eE][+-]?[0-9]+)?[fFdD]?$"),
                    F.lit("decimal_floating_point_literal"))
              .when(text.startswith('"'), F.lit("string_literal"))
              .when(text.startswith("'") & (F.length(text) >= 3), F.lit("character_literal"))
              .when(text == "null", F.lit("null_literal"))
+             .when(text.isin("void", "boolean"), F.concat(text, F.lit("_type")))
              .when(F.array_contains(kw, text), text)
              .when(text.rlike(r"^[\p{L}\p{M}\p{N}_$]+$"), F.lit("identifier"))
              .otherwise(text))
 
 
-# comment or string literal; strings are captured so they survive.
-C_COMMENT = r'//[^\n]*|/\*[\s\S]*?\*/|("(?:\\.|[^\\"])*"|' + r"'(?:\\.|[^\\'])*')"
 HTML_COMMENT = r"<!--[\s\S]*?-->"
 
 
 def drop_blank_lines(text: Column) -> Column:
-    return F.array_join(F.filter(F.split(text, "\n"), lambda l: F.trim(l) != ""), "\n")
+    return F.array_join(F.filter(F.split(text, "\n"), lambda l: l.rlike(r"[^ \t\r\f]")), "\n")
 
 
 def strip_comments(code: Column, lang: str = "java") -> Column:
-    """remove comments outside quotes (to one space), then drop blank
-    lines.  ``html`` removes ``<!-- -->`` blocks; ``python`` removes ``#``
-    comments and docstrings that start a line."""
+    """drop the comments among the lexer's pieces (a Java comment leaves one
+    space), then blank lines.  ``html`` removes ``<!-- -->`` blocks; ``python``
+    also drops triple-quoted strings that are a line's only content."""
     if lang == "html":
-        stripped = F.regexp_replace(code, HTML_COMMENT, "")
-    elif lang == "python":
-        s = F.regexp_replace(code, r'(?m)^[ \t]*("""[\s\S]*?"""|\'\'\'[\s\S]*?\'\'\')[ \t]*$', "")
-        stripped = F.regexp_replace(s, r'''(?m)("(?:\\.|[^\\"\n])*"|'(?:\\.|[^\\'\n])*')|#[^\n]*''', "$1")
+        return drop_blank_lines(F.regexp_replace(code, HTML_COMMENT, ""))
+    own = pieces(code, lang)
+    if lang == "python":
+        before = F.concat(F.array(F.lit("\n")), own)
+        after = F.concat(F.slice(own, F.lit(2), F.greatest(F.size(own), F.lit(1))), F.array(F.lit("\n")))
+        around = F.arrays_zip(own.alias("piece"), F.slice(before, F.lit(1), F.greatest(F.size(own), F.lit(1))).alias("before"),
+                              after.alias("after"))
+        triple = r"^[rRbBuUfF]{0,2}(\"\"\"|\'\'\')"
+        kept = F.transform(around, lambda x: F.when(
+            is_comment(x["piece"], lang) | (x["piece"].rlike(triple) & x["before"].rlike(r"\n[ \t]*$") & x["after"].rlike(r"^[ \t]*\n")),
+            F.lit("")).otherwise(x["piece"]))
     else:
-        # keep captured strings ($1), replace comments by a space
-        stripped = F.regexp_replace(
-            F.regexp_replace(code, C_COMMENT, "\u0000$1"), "\u0000(?=[^\"'])|\u0000$", " ")
-        stripped = F.regexp_replace(stripped, "\u0000", "")
-    return drop_blank_lines(stripped)
+        kept = F.transform(own, lambda p: F.when(is_comment(p, lang), F.lit(" ")).otherwise(p))
+    return drop_blank_lines(F.array_join(kept, ""))

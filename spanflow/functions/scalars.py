@@ -3,6 +3,8 @@ expressions, so they stay inside whole-stage codegen."""
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -129,6 +131,16 @@ def wrap_code(code, prefix: str = WRAP_PREFIX, suffix: str = WRAP_SUFFIX) -> Col
     return F.concat(F.lit(prefix), _c(code), F.lit(suffix))
 
 
+def plain_text(v) -> str:
+    """A config value as a column cast to text spells it: one spelling of doubles
+    for keys made from columns and from Python values."""
+    if not isinstance(v, float) or v == 0 or 1e-3 <= abs(v) < 1e7 or v != v or v in (float("inf"), float("-inf")):
+        return str(v)
+    sign, digits, exp = Decimal(repr(v)).normalize().as_tuple()
+    head, tail = str(digits[0]), "".join(map(str, digits[1:])) or "0"
+    return f"{'-' * sign}{head}.{tail}E{exp + len(digits) - 1}"
+
+
 CONFIG_FIELDS = ("min", "max", "n", "m", "type", "task")
 
 

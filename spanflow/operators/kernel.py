@@ -96,7 +96,7 @@ def pending(work: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return work.join(done.select(*keys).distinct(), keys, "left_anti")
 
 
-def first_docs(df: DataFrame, order: list[str], n: int = 1001) -> DataFrame:
+def first_docs(df: DataFrame, order: list[str], n: int) -> DataFrame:
     """L1: the first ``n`` records by a source order key (a top-k: Spark
     plans it as TakeOrderedAndProject, n rows per task, no full sort)."""
     return df.orderBy(*order).limit(n)

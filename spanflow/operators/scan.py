@@ -16,6 +16,9 @@ executor loss gets the same answer.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +28,13 @@ def _chunked(df: DataFrame, chunk: Column | str | None) -> DataFrame:
     return df.withColumn("_chunk", c)
 
 
+def _with_carry(local: DataFrame, carry: DataFrame, keys: list[str]) -> DataFrame:
+    """Join a per-chunk summary back; NULL keys and chunks are values like others."""
+    renamed = carry.withColumnsRenamed({k: f"_c_{k}" for k in [*keys, "_chunk"]})
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_c_{k}")) for k in [*keys, "_chunk"]))
+    return local.join(renamed, same).drop(*[f"_c_{k}" for k in [*keys, "_chunk"]])
+
+
 def group_positions(df: DataFrame, keys: list[str], order: list[str], name: str = "pos",
                     chunk: Column | str | None = None) -> DataFrame:
     """0-based position of each row within its group, by ``order``."""
@@ -36,7 +46,7 @@ def group_positions(df: DataFrame, keys: list[str], order: list[str], name: str
     counts = d.groupBy(*keys, "_chunk").agg(F.count("*").alias("_n"))
     wc = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carry = counts.select(*keys, "_chunk", F.coalesce(F.sum("_n").over(wc), F.lit(0)).alias("_off"))
-    out = local.join(carry, [*keys, "_chunk"])
+    out = _with_carry(local, carry, keys)
     return out.withColumn(name, (F.col("_lpos") + F.col("_off")).cast("long")).drop("_chunk", "_lpos", "_off")
 
 
@@ -53,5 +63,5 @@ def last_before(df: DataFrame, keys: list[str], order: list[str], value: str, na
              .agg(F.max_by(F.col(value), F.when(F.col(value).isNotNull(), F.struct(*order))).alias("_last")))
     wc = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carry = per.select(*keys, "_chunk", F.last("_last", ignorenulls=True).over(wc).alias("_c"))
-    out = local.join(carry, [*keys, "_chunk"])
+    out = _with_carry(local, carry, keys)
     return out.withColumn(name, F.coalesce(F.col("_lv"), F.col("_c"))).drop("_chunk", "_lv", "_c")

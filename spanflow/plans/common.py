@@ -9,7 +9,6 @@ from ..functions.lexing import PIECE_PATTERN, PROSE_PATTERN
 from ..sources.tables import load
 
 SUPPORTED_LANGS = ("en", "de")
-MAX_CHARS = 10000
 
 
 def T(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -50,12 +49,15 @@ def sql_label(t: str = "text") -> str:
     """DuckDB twin of ``token_label``."""
     from ..functions.lexing import JAVA_KEYWORDS
     kws = ", ".join(sql_str(k) for k in JAVA_KEYWORDS)
-    return f"""CASE WHEN regexp_full_match({t}, '[0-9]+[lL]?') THEN 'decimal_integer_literal'
+    return f"""CASE WHEN regexp_full_match({t}, '(0|[1-9][0-9_]*)[lL]?') THEN 'decimal_integer_literal'
       WHEN regexp_matches({t}, '^0[xX]') THEN 'hex_integer_literal'
+      WHEN regexp_full_match({t}, '0[bB][01_]+[lL]?') THEN 'binary_integer_literal'
+      WHEN regexp_full_match({t}, '0[0-7_]+[lL]?') THEN 'octal_integer_literal'
       WHEN regexp_full_match({t}, '[0-9][0-9_]*(\\.[0-9_]+)?([eE][+-]?[0-9]+)?[fFdD]?') THEN 'decimal_floating_point_literal'
       WHEN starts_with({t}, '"') THEN 'string_literal'
       WHEN starts_with({t}, '''') AND length({t}) >= 3 THEN 'character_literal'
       WHEN {t} = 'null' THEN 'null_literal'
+      WHEN {t} IN ('void', 'boolean') THEN {t} || '_type'
       WHEN {t} IN ({kws}) THEN {t}
       WHEN regexp_full_match({t}, '[\\p{{L}}\\p{{M}}\\p{{N}}_$]+') THEN 'identifier'
       ELSE {t} END"""

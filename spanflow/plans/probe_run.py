@@ -20,16 +20,14 @@ from ..operators.vectors import hash_ngram_vectors
 from ..sources.sinks import write_results
 from ..sources.tables import read_code_jsonl
 
-DEFAULTS = {"task": "structure", "langs": ["java"], "layers": 3, "dims": 16, "max_chars": None, "out": None}
+DEFAULTS = {"task": "structure", "langs": ["java"], "layers": 3, "dims": 16, "out": None}
 
 
 def run_probe(spark: SparkSession, spec: dict) -> tuple[DataFrame, int]:
     """Run the pipeline described by ``spec`` (keys: ``input`` = JSONL path
     or a DataFrame ``(doc_id, language, code)``, optional ``langs``,
-    ``layers``, ``dims``, ``max_chars``, ``out``).  Returns the results
-    table and the number of skipped rows.  Whole texts are processed: a
-    length limit (``max_chars``, as a model's context would impose) is
-    opt-in; the native encoder has none."""
+    ``layers``, ``dims``, ``out``).  Returns the results
+    table and the number of skipped rows.  Whole texts are processed."""
     spec = {**DEFAULTS, **spec}
     if spec["task"] != "structure":
         raise ValueError("only the structure-probing task reads raw code")
@@ -37,8 +35,7 @@ def run_probe(spark: SparkSession, spec: dict) -> tuple[DataFrame, int]:
     docs = read_code_jsonl(spark, src) if isinstance(src, str) else src.withColumn("_corrupt_record", F.lit(None).cast("string"))
     err = (F.when(F.col("_corrupt_record").isNotNull(), "malformed line")
             .when(F.col("code").isNull(), "no code")
-            .when(~F.col("language").isin(spec["langs"]), "unsupported language")
-            .when(F.lit(spec["max_chars"] is not None) & (F.length("code") > F.lit(spec["max_chars"] or 0)), "too long"))
+            .when(~F.col("language").isin(spec["langs"]), "unsupported language"))
     ok, bad = quarantine(docs, err)
     n_skipped = bad.count()
     toks = token_table(ok.select("doc_id", F.col("code").alias("text")), lang="java", with_label=True)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import hash_split, sql_u32
 from ..functions.scalars import WRAP_PREFIX, WRAP_SUFFIX, config_name, wrap_code
 from ..operators import kernel as K
-from .common import MAX_CHARS, SUPPORTED_LANGS, T, sql_str
+from .common import SUPPORTED_LANGS, T, sql_str
 from .registry import query
 
 _wrap_sql = f"{sql_str(WRAP_PREFIX)} || text || {sql_str(WRAP_SUFFIX)}".replace("\n", "' || chr(10) || '")
@@ -62,16 +62,18 @@ def split_counts(spark, sf):
 
 
 @query("first_docs", """
-SELECT doc_id, lang, n_chars FROM documents ORDER BY doc_id LIMIT 1001""")
+SELECT doc_id, lang, n_chars FROM documents ORDER BY doc_id LIMIT 501""")
 def first_docs(spark, sf):
-    return K.first_docs(T(spark, sf, "documents").select("doc_id", "lang", "n_chars"), ["doc_id"], 1001)
+    return K.first_docs(T(spark, sf, "documents").select("doc_id", "lang", "n_chars"), ["doc_id"], 501)
 
 
 @query("quarantine_counts", f"""
-SELECT lang, count(*) FILTER (WHERE length(text) <= {MAX_CHARS}) AS n_ok,
-       count(*) FILTER (WHERE length(text) > {MAX_CHARS}) AS n_skipped
-FROM documents GROUP BY lang""")
+SELECT lang, count(*) FILTER (WHERE NOT bad) AS n_ok, count(*) FILTER (WHERE bad) AS n_skipped
+FROM (SELECT lang, text IS NULL OR NOT regexp_matches(text, '[^ \\t\\n\\r\\f]') OR contains(text, chr(65533))
+               OR NOT regexp_matches(text, '\\p{{L}}{{4}}') AS bad FROM documents) GROUP BY lang""")
 def quarantine_counts(spark, sf):
     d = T(spark, sf, "documents")
-    err = F.when(F.length("text") > MAX_CHARS, F.lit("too long"))
+    err = (F.when(F.col("text").isNull() | ~F.col("text").rlike(r"[^ \t\n\r\f]"), F.lit("no text"))
+            .when(F.contains("text", F.lit("\ufffd")), F.lit("undecodable"))
+            .when(~F.col("text").rlike(r"\p{L}{4}"), F.lit("no words")))
     return K.quarantine_counts(d.select("lang", "text"), err, ["lang"])

@@ -3,6 +3,7 @@ output is skipped with an anti join (J1), never re-appended."""
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,9 +12,12 @@ from .tables import METHOD_FLAGS
 
 
 def _existing(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame | None:
+    """The stored output, or None where there is none; other errors are raised."""
     try:
         return spark.read.format(fmt).load(path)
-    except Exception:  # no output yet
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         return None
 
 
@@ -41,7 +45,12 @@ def write_features(df: DataFrame, path: str) -> None:
 
 def write_results(df: DataFrame, path: str) -> None:
     """K3: long-format results ``(key, layer, metric, value)``, one folder per
-    key; the combined view is simply a read of the whole folder."""
+    key; the combined view is simply a read of the whole folder.  A result
+    that is stored already (key, layer, metric) is not written again."""
+    old = _existing(df.sparkSession, path)
+    df = df.dropDuplicates(["key", "layer", "metric"])
+    if old is not None:
+        df = pending(df, old.withColumn("key", F.col("key").cast(df.schema["key"].dataType)), ["key", "layer", "metric"])
     df.write.mode("append").partitionBy("key").parquet(path)
 
 
