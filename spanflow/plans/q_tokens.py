@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.lexing import HTML_COMMENT, strip_comments as strip
+from ..functions.lexing import HTML_COMMENT, is_blank, pieces, strip_comments as strip
 from ..functions.scalars import span_text as span
 from ..operators.align import align_spans
 from ..operators.kernel import named_tokens as named
@@ -19,6 +19,10 @@ def doc_tokens(spark, sf, with_lines=False, with_label=False):
                        with_lines=with_lines, with_label=with_label)
 
 
+def doc_pieces():
+    return F.filter(pieces(F.col("text")), lambda p: ~is_blank(p))
+
+
 @query("token_spans", f"SELECT doc_id, idx, text, char_start, char_end FROM ({sql_tokens()})")
 def token_spans(spark, sf):
     return doc_tokens(spark, sf).select("doc_id", "idx", "text", "char_start", "char_end")
@@ -42,14 +46,17 @@ def token_labels(spark, sf):
 
 @query("label_histogram", f"SELECT {sql_label()} AS label, count(*) AS n FROM ({sql_tokens()}) GROUP BY 1")
 def label_histogram(spark, sf):
-    return label_tokens(doc_tokens(spark, sf)).groupBy("label").agg(F.count("*").alias("n"))
+    # no positions, so no window: tokens are counted where the documents are read
+    t = T(spark, sf, "documents").select(F.explode(doc_pieces()).alias("text"))
+    return label_tokens(t).groupBy("label").agg(F.count("*").alias("n"))
 
 
 @query("named_tokens", f"""
 SELECT doc_id, count(*) AS n_named FROM ({sql_tokens()}) WHERE {sql_label()} <> text GROUP BY doc_id""")
 def named_tokens(spark, sf):
-    # tokens stay partitioned by doc_id: the count needs no second shuffle
-    return named(label_tokens(doc_tokens(spark, sf))).groupBy("doc_id").agg(F.count("*").alias("n_named"))
+    # counted before the shuffle, which carries one row a document
+    t = T(spark, sf, "documents").select("doc_id", F.explode(doc_pieces()).alias("text"))
+    return named(label_tokens(t)).groupBy("doc_id").agg(F.count("*").alias("n_named"))
 
 
 @query("span_text", """

@@ -19,11 +19,6 @@ def query(name: str, sql: str | None = None):
 
 
 def load_all_plans():
-    from . import q_kernel, q_tokens  # noqa: F401  (registration side effects)
-    for mod in ("q_structure", "q_lists", "q_grammar", "q_dataflow", "q_vectors"):
-        try:
-            __import__(f"{__package__}.{mod}")
-        except ModuleNotFoundError as e:
-            if mod not in str(e):
-                raise
+    from . import (q_code, q_dataflow, q_grammar, q_kernel, q_lists, q_structure, q_tokens,  # noqa: F401  (registration)
+                   q_vectors)
     return QUERIES, ORACLE
