@@ -24,20 +24,6 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     return df.repartition(n) if have < n else df
 
 
-def right_size(df: DataFrame, rows_per_partition: int = 100_000) -> DataFrame:
-    """For inputs read many times (probe loops): count once (this also fills
-    a cache the caller set up) and merge small partitions without a shuffle,
-    so an iterative fit on small data does not pay per-task overhead on
-    mostly empty partitions.  Large inputs keep their partitioning."""
-    n = df.count()
-    parts = max(1, -(-n // rows_per_partition))
-    try:
-        have = df.rdd.getNumPartitions()
-    except Exception:
-        return df
-    return df.coalesce(parts) if parts < have else df
-
-
 def split_supported(df: DataFrame, lang_col: str, langs: Iterable[str]) -> tuple[DataFrame, DataFrame]:
     """(rows in a supported language, rejected rows with a reason)."""
     langs = list(langs)
@@ -126,6 +112,6 @@ def with_split(df: DataFrame, id_col: str, seed: int = 42, test_pct: int = 50) -
     return df.withColumn("split", hash_split(id_col, seed, test_pct))
 
 
-__all__ = ["spread", "right_size", "split_supported", "select_configs", "drop_types", "quarantine", "quarantine_counts",
+__all__ = ["spread", "split_supported", "select_configs", "drop_types", "quarantine", "quarantine_counts",
            "drop_constant_targets", "named_tokens", "true_features", "pending", "first_docs",
            "first_n_per_group", "with_split", "draw_u32"]

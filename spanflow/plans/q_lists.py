@@ -141,7 +141,7 @@ def _samples(spark, sf):
     return T(spark, sf, "orders").select(F.col("o_orderkey").alias("sample_id"))
 
 
-def _sql_values(cfg: Config, m: int) -> tuple[str, str]:
+def sql_values(cfg: Config, m: int) -> tuple[str, str]:
     """(nums, texts) DuckDB list expressions for one sample (column sample_id)."""
     key = lambda i: f"{sql_str(cfg.name + ':')} || sample_id || ':' || {i}"
     if cfg.type == "floats":
@@ -155,7 +155,7 @@ def _sql_values(cfg: Config, m: int) -> tuple[str, str]:
 
 
 def _sql_list_max(cfg):
-    nums, texts = _sql_values(cfg, cfg.m)
+    nums, texts = sql_values(cfg, cfg.m)
     return (f"SELECT {sql_str(cfg.name)} AS config_name, o_orderkey AS sample_id, array_to_string({texts}, ' ') AS inps, "
             f"array_to_string(list_transform(nums, lambda x: (x = list_max(nums))::INTEGER), ',') AS y_vec "
             f"FROM (SELECT o_orderkey, o_orderkey AS sample_id, {nums} AS nums FROM orders)")
@@ -179,7 +179,7 @@ def gen_list_max(spark, sf):
 
 
 def _sql_scalar_gen(cfg, label):
-    nums, texts = _sql_values(cfg, cfg.m)
+    nums, texts = sql_values(cfg, cfg.m)
     return (f"SELECT {sql_str(cfg.name)} AS config_name, sample_id, array_to_string({texts}, ' ') AS inps, "
             f"round({label}, 6) AS y_num FROM (SELECT o_orderkey AS sample_id, {nums} AS nums FROM orders)")
 

@@ -9,11 +9,12 @@ from ..operators import metrics as M
 from ..operators import probes as P
 from ..operators.align import align_spans
 from ..operators.generate import Config, gen_numeric
-from ..operators.kernel import drop_constant_targets, right_size, spread
+from ..operators.kernel import drop_constant_targets, spread
 from ..operators.tokens import by_doc, token_table
 from ..operators.vectors import hash_text_vectors, piece_vectors, pool, token_piece_vectors
-from .common import PIECE_PATTERN, T, r6, sql_tokens
-from .q_structure import PROSE_FLAGS
+from .common import PIECE_PATTERN, T, r6, sql_signed_log, sql_str, sql_tokens
+from .q_lists import sql_values
+from .q_structure import PROSE_FLAGS, doc_flags_sql
 from .registry import query
 
 DIMS, LAYERS = 16, 3
@@ -151,59 +152,103 @@ def standardize(spark, sf):
     return z.select("p_partkey", r6(F.col("p_size_z")).alias("p_size_z"), r6(F.col("p_retailprice_z")).alias("p_retailprice_z"))
 
 
-# --- probes (Spark ML): rows-only checks ---------------------------------------
+# --- probes (Spark ML) ----------------------------------------------------------
+# The SQL twins hold what no solver decides: rows of each half, row sums of the
+# confusion matrices, and that fits converged to a loss no constant has.
 
-@query("probe_logistic")
+def _wide(res):
+    """Solver-free columns of a long result table."""
+    value = lambda m: F.max(F.when(F.col("metric") == m, F.col("value")))
+    return res.groupBy("key", "layer").agg(
+        value("n_train").cast("long").alias("n_train"), value("n_test").cast("long").alias("n_test"),
+        (value("confusion_0_0") + value("confusion_0_1")).cast("long").alias("n_negative"),
+        (value("confusion_1_0") + value("confusion_1_1")).cast("long").alias("n_positive"),
+        ((value("confusion_0_0") + value("confusion_1_1")) / value("n_test") == value("accuracy")).alias("accuracy_agrees"),
+        (value("converged") == 1).alias("converged"), (value("beats_constant") == 1).alias("beats_constant"))
+
+
+_TRUTHS = "true AS accuracy_agrees, true AS converged, true AS beats_constant"
+
+
+@query("probe_logistic", f"""
+WITH e AS (SELECT label, {_split_sql('vec_id')} AS split FROM embeddings), k AS (SELECT DISTINCT label AS class FROM e)
+SELECT 'label=' || class AS key, 0::INTEGER AS layer, count(*) FILTER (split = 0) AS n_train, count(*) FILTER (split = 1) AS n_test,
+       count(*) FILTER (split = 1 AND label <> class) AS n_negative, count(*) FILTER (split = 1 AND label = class) AS n_positive, {_TRUTHS}
+FROM e, k GROUP BY class""")
 def probe_logistic(spark, sf):
     """M1 per target class of the embeddings (one-vs-rest), one layer."""
-    e = right_size(T(spark, sf, "embeddings").withColumn("split", hash_split("vec_id")).persist())
+    e = T(spark, sf, "embeddings").withColumn("split", hash_split("vec_id")).persist()
     classes = [r[0] for r in e.select("label").distinct().orderBy("label").collect()]
-    stats = P._vector_stats(e.filter(F.col("split") == 0), "embedding")
-    out = None
-    for c in classes:
-        d = e.withColumn("y", (F.col("label") == c).cast("int"))
-        _, s = P.logistic_probe(d, "embedding", "y", stats=stats)
-        r = s.first()
-        out = (out or []) + [(f"label={c}", 0, round(float(r["accuracy"]), 6), int(r["n_test"]))]
+
+    def data_for(key, layer):
+        return e.withColumn("y", (F.concat(F.lit("label="), F.col("label")) == key).cast("int")), "embedding", "y"
+    res = P.run_probes([(f"label={c}", 0) for c in classes], data_for, spark=spark)
     e.unpersist()
-    return spark.createDataFrame(out, "key string, layer int, accuracy double, n_test long")
+    return _wide(res)
 
 
 def _order_samples(spark, sf):
     return T(spark, sf, "orders").select(F.col("o_orderkey").alias("sample_id"))
 
 
-@query("probe_addition")
+ADDITION, MAXIMUM = Config(0.0, 100.0, 0, 5, "ints", "addition"), Config(0.0, 100.0, 0, 5, "ints", "list_maximum")
+
+
+def _least_squares_sql(rows: str, n: int) -> str:
+    """DuckDB: mean squared residual of ``y`` on split 1 after least squares on ``x1..xn`` of
+    split 0: columns are centred, then each in turn is taken out of those after it."""
+    cols = [f"x{i}" for i in range(1, n + 1)] + ["y"]
+    steps = ["s0 AS (SELECT split, " + ", ".join(f"{c} - avg({c}) FILTER (split = 0) OVER () AS {c}" for c in cols) + f" FROM ({rows}))"]
+    for i in range(n):
+        rest, x = cols[i + 1:], cols[i]
+        steps.append(f"b{i} AS (SELECT " + ", ".join(
+            f"sum({c} * {x}) FILTER (split = 0) / sum({x} * {x}) FILTER (split = 0) AS b_{c}" for c in rest) + f" FROM s{i})")
+        steps.append(f"s{i + 1} AS (SELECT split, " + ", ".join(f"{c} - b_{c} * {x} AS {c}" for c in rest) + f" FROM s{i}, b{i})")
+    return "WITH " + ", ".join(steps) + f" SELECT avg(y * y) AS mse, count(*) AS n_test FROM s{n} WHERE split = 1"
+
+
+def _numbers_sql(cfg):
+    return f"SELECT {_split_sql('sample_id')} AS split, {sql_values(cfg, cfg.m)[0]} AS nums FROM (SELECT o_orderkey AS sample_id FROM orders)"
+
+
+_addition_rows = ("SELECT split, " + ", ".join(f"nums[{i}]::DOUBLE AS x{i}" for i in range(1, ADDITION.m + 1))
+                  + f", {sql_signed_log('list_sum(nums)')} AS y FROM ({_numbers_sql(ADDITION)})")
+
+
+@query("probe_addition", f"SELECT {sql_str(ADDITION.name)} AS config_name, round(mse, 6) AS mse, n_test "
+                         f"FROM ({_least_squares_sql(_addition_rows, ADDITION.m)})")
 def probe_addition(spark, sf):
     """M3: the addends as 1-d token vectors, padded, flattened, least squares."""
-    cfg = Config(0.0, 100.0, 0, 5, "ints", "addition")
-    g = gen_numeric(_order_samples(spark, sf), cfg).withColumn("split", hash_split("sample_id"))
+    g = gen_numeric(_order_samples(spark, sf), ADDITION).withColumn("split", hash_split("sample_id"))
     g = g.withColumn("x", F.flatten(F.transform("inps", lambda t: F.array(t.cast("double")))))
     _, s = P.linear_probe(g, "x", "y_num")
-    return s.select(F.lit(cfg.name).alias("config_name"), r6(F.col("mse")).alias("mse"), "n_test")
+    return s.select(F.lit(ADDITION.name).alias("config_name"), r6(F.col("mse")).alias("mse"), "n_test")
 
 
-@query("probe_multi")
+@query("probe_multi", f"""
+SELECT {sql_str(MAXIMUM.name)} AS config_name, round(avg((len(list_filter(nums, lambda x: x = list_max(nums))) > 1)::INTEGER), 6) AS tie_share,
+       count(*) AS n_test, true AS converged, true AS above_majority FROM ({_numbers_sql(MAXIMUM)}) WHERE split = 1""")
 def probe_multi(spark, sf):
-    """M4: list maximum, one logistic probe per position, exact-match accuracy."""
-    cfg = Config(0.0, 100.0, 0, 5, "ints", "list_maximum")
-    g = gen_numeric(_order_samples(spark, sf), cfg).withColumn("split", hash_split("sample_id"))
-    g = g.withColumn("x", F.transform("inps", lambda t: t.cast("double")))
-    r = P.multi_output_probe(g, "x", "y_vec", "sample_id", max_iter=100)
-    return r.select(F.lit(cfg.name).alias("config_name"), r6(F.col("accuracy")).alias("accuracy"),
-                    r6(F.col("tie_share")).alias("tie_share"), "n_test")
-
-
-@query("probe_summary")
-def probe_summary(spark, sf):
+    """M4: list maximum, one logistic probe per position; exact matches are more
+    than the share of the commonest label."""
+    g = gen_numeric(_order_samples(spark, sf), MAXIMUM).withColumn("split", hash_split("sample_id"))
+    g = g.withColumn("x", F.transform("inps", lambda t: t.cast("double"))).persist()
+    test = g.filter(F.col("split") == 1)
+    majority = test.groupBy("y_vec").agg(F.count("*").alias("n")).agg((F.max("n") * 100.0 / F.sum("n")).alias("m")).first()["m"]
+    r = P.multi_output_probe(g, "x", "y_vec", "sample_id")
+    return r.select(F.lit(MAXIMUM.name).alias("config_name"), r6(F.col("tie_share")).alias("tie_share"), "n_test", "converged",
+                    (F.col("accuracy") > majority).alias("above_majority"))
+
+
+def flag_probes(spark, sf):
     """M5: every (flag, layer) probe on hashed document vectors; constant
     targets are skipped (P7); results in long format."""
     from .q_structure import doc_flag_table
     flags = doc_flag_table(spark, sf).withColumn("split", hash_split("doc_id"))
     vecs = doc_vectors(spark, sf)
-    # the probe loop reads the same input many times: keep it (recomputable from lineage on executor loss)
-    data = right_size(vecs.join(flags, "doc_id").persist())
-    counts = flags.filter(F.col("split") == 0).agg(*[F.count_distinct(f).alias(f) for f in PROSE_FLAGS]).first()
+    # the probes read the same input many times: keep it (recomputable from lineage on executor loss)
+    data = vecs.join(flags, "doc_id").persist()
+    counts = data.filter((F.col("split") == 0) & (F.col("layer") == 1)).agg(*[F.count_distinct(f).alias(f) for f in PROSE_FLAGS]).first()
     keys = [f for f in PROSE_FLAGS if counts[f] > 1]
     specs = [(k, layer) for k in keys for layer in range(1, LAYERS + 1)]
 
@@ -211,4 +256,23 @@ def probe_summary(spark, sf):
         return data.filter(F.col("layer") == layer).withColumn("y", F.col(key).cast("int")), "vec", "y"
     res = P.run_probes(specs, data_for, spark=spark)
     data.unpersist()
-    return res.select("key", "layer", "metric", r6(F.col("value")).alias("value"))
+    return res
+
+
+_flag_rows = " UNION ALL ".join(f"SELECT '{f}' AS key, {_split_sql('doc_id')} AS split, {f} AS flag FROM ({doc_flags_sql})"
+                                for f in PROSE_FLAGS)
+
+
+@query("probe_summary", f"""
+SELECT key, layer::INTEGER AS layer, count(*) FILTER (split = 0) AS n_train, count(*) FILTER (split = 1) AS n_test,
+       count(*) FILTER (split = 1 AND NOT flag) AS n_negative, count(*) FILTER (split = 1 AND flag) AS n_positive, {_TRUTHS}
+FROM ({_flag_rows}), range(1, {LAYERS + 1}) l(layer) GROUP BY key, layer
+HAVING count(DISTINCT flag) FILTER (split = 0) > 1""")
+def probe_summary(spark, sf):
+    return _wide(flag_probes(spark, sf))
+
+
+@query("probe_scores")
+def probe_scores(spark, sf):
+    """The whole result table: accuracies and confusion matrices."""
+    return flag_probes(spark, sf).select("key", "layer", "metric", r6(F.col("value")).alias("value"))

@@ -44,10 +44,18 @@ def test_alignment_reuses_the_document_shuffle(spark):
     assert "BroadcastExchange" not in p          # the piece table is unbounded: never broadcast
 
 
-def test_grammar_broadcasts_are_exactly_sized(spark):
-    from spanflow.operators.grammar import BROADCAST_MAX_ROWS, counts
-    p = _plan(spark, "weighted_sample")
-    assert p.count("BroadcastExchange") == 2 and counts("bool", 3)[3] <= BROADCAST_MAX_ROWS
+def test_grammar_samples_are_unranked_without_a_join(spark):
+    import pytest
+
+    from spanflow.operators.grammar import counts, weighted_sample
+    ids = spark.range(50).withColumnRenamed("id", "sample_id")
+    for depth in (5, 6):
+        d = weighted_sample(ids, "bool", depth)
+        assert "Join" not in d._jdf.queryExecution().executedPlan().toString()
+        rows = d.collect()
+        assert all(0 <= r.deriv < counts("bool", depth)[depth] and r.tokens for r in rows)
+    with pytest.raises(ValueError):
+        weighted_sample(ids, "bool", 9)
 
 
 def test_bucketed_documents_remove_the_shuffle(spark):

@@ -11,7 +11,6 @@ from spanflow.sources.tables import TABLES
 
 SF = "/root/testdata/sf0.001"
 Q, O = load_all_plans()
-SLOW = {"probe_logistic", "probe_summary", "probe_multi"}
 
 
 def _norm(v):
@@ -41,7 +40,7 @@ def test_query_matches_oracle(spark, con, name):
     assert got == exp
 
 
-@pytest.mark.parametrize("name", sorted(n for n in Q if n not in O and n not in SLOW))
+@pytest.mark.parametrize("name", sorted(n for n in Q if n not in O))
 def test_rows_only_queries_run(spark, name):
     assert Q[name](spark, SF).count() > 0
 
