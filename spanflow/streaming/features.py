@@ -26,7 +26,7 @@ def stream_code_flags(spark: SparkSession, src_dir: str, out_dir: str, checkpoin
     def batch(df: DataFrame, batch_id: int):
         docs = df.withColumn("doc_id", F.xxhash64("file_path"))
         toks = token_table(docs.select("doc_id", "text"), lang="java", with_label=True)
-        flags = code_flags(toks).join(docs.select("doc_id", "file_path"), "doc_id")
+        flags = code_flags(toks, docs.select("doc_id", "file_path"))
         (flags.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
               .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(out_dir))
 
