@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from typing import Iterable
 
+from pyspark.errors import PySparkAttributeError, PySparkNotImplementedError
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     try:
         n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
         have = df.rdd.getNumPartitions()
-    except Exception:  # no RDD view (e.g. a Spark Connect session): leave the plan as it is
+    except (AttributeError, PySparkAttributeError, PySparkNotImplementedError):  # a Spark Connect session has no RDD view
         return df
     return df.repartition(n) if have < n else df
 

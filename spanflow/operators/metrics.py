@@ -48,9 +48,10 @@ def balanced_weights(df: DataFrame, y: str, by: list[str] | None = None) -> Data
 
 
 def with_weights(df: DataFrame, y: str, by: list[str] | None = None, name: str = "weight") -> DataFrame:
-    """Attach A13 weights to rows (join on the small class table)."""
+    """Attach A13 weights to rows.  The class table has a row per group and class; Spark
+    broadcasts it only where its measured size allows."""
     wt = balanced_weights(df, y, by).select(*(by or []), y, F.col("weight").alias(name))
-    return df.join(F.broadcast(wt), [*(by or []), y])
+    return df.join(wt, [*(by or []), y])
 
 
 def standardize(df: DataFrame, cols: list[str], fit_on: Column | None = None, suffix: str = "_z") -> DataFrame:
