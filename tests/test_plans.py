@@ -7,7 +7,7 @@ from spanflow.plans.registry import load_all_plans
 
 SF = "/root/testdata/sf0.001"
 Q, _ = load_all_plans()
-FITTING = {"probe_logistic", "probe_summary", "probe_multi", "probe_addition"}   # fit models while planning
+FITTING = {"probe_logistic", "probe_summary", "probe_multi", "probe_addition", "probe_scores"}   # fit models while planning
 
 
 def _plan(spark, name, run=False):
