@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import quoted, stored
+from .common import fresh, quoted, stored
 
 RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"),
          ("net/fr/", "block")]
@@ -116,6 +116,6 @@ def judge(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: st
 
 def allowed(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", **how) -> DataFrame:
     """The pages whose url is allowed, with their own columns only."""
-    rule, verdict = rule_of(host_of(quoted(url)), path_of(quoted(url)), how.get("rules", RULES))
-    blocked = judge(pages, page_id, url, html, **how).where("verdict = 'block'").select(F.col("url").alias("blocked_url_")).distinct()
-    return pages.join(blocked, quoted(url) == F.col("blocked_url_"), "left_anti")
+    name = fresh("blocked_url_", pages.columns)
+    blocked = judge(pages, page_id, url, html, **how).where("verdict = 'block'").select(F.col("url").alias(name)).distinct()
+    return pages.join(blocked, quoted(url) == F.col(name), "left_anti")
