@@ -208,19 +208,24 @@ def connected(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _first(id_: str, doc: str):
+    """The document of the smallest id (id, doc); NULL if none has an id."""
+    return F.min(F.when(F.col(id_).isNotNull(), F.struct(F.col(id_).alias("id"), F.col(doc).alias("doc")))).alias("first")
+
+
 def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE,
           percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, representatives, links): doc key, id, n_shingles and set_key of
-    each distinct document; rid, set_key and smallest id of each set; links (a, b)
+    each document; rid, set_key and first document (id, doc) of each set; links (a, b)
     between representatives that connect all that are similar."""
     identity = text_key(quoted(doc_id), quoted(text))
     rows = docs.select(identity.alias("doc"), quoted(doc_id).alias("id"), quoted(text).cast("string").alias("text"))
     marked = shingle_rows(rows, "text", ["doc", "id"], k, percent)
     marked = stored(marked, "marked")
     reps = (marked.where(F.col("set_key").isNotNull()).groupBy("set_key")
-            .agg(F.min_by(F.struct("doc", "signatures", "needs"), "doc").alias("one"), F.min("id").alias("first_id"),
+            .agg(F.min_by(F.struct("doc", "signatures", "needs"), "doc").alias("one"), _first("id", "doc"),
                  F.first("n_shingles").alias("n")))
-    reps = stored(reps.select(F.monotonically_increasing_id().alias("rid"), "set_key", "first_id", "n",
+    reps = stored(reps.select(F.monotonically_increasing_id().alias("rid"), "set_key", "first", "n",
                               F.col("one.doc").alias("doc"), F.col("one.signatures").alias("signatures"), F.col("one.needs").alias("needs")), "reps")
     postings = reps.select("rid", "n", "needs", F.explode("signatures").alias("sig"))
     shared = (postings.groupBy("sig").agg(F.count("*").alias("held"), F.min("rid").alias("lo"), F.max("rid").alias("hi"))
@@ -274,26 +279,35 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int =
     return marked.select("doc", "id", "n_shingles", "set_key"), reps, stars.union(found)
 
 
+def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE,
+            percent: int = PERCENT) -> DataFrame:
+    """One row per row of ``docs``: doc key, id, n_shingles and ``first``, the
+    document (id, doc) of the smallest id that links reach (NULL without shingles)."""
+    marked, reps, edges = links(docs, doc_id, text, k, percent)
+    labels = connected(edges)
+    reps = reps.select("rid", "set_key", "first.id", "first.doc").join(labels, "rid", "left").withColumn(
+        "label", F.coalesce("label", "rid"))
+    lowest = reps.groupBy("label").agg(_first("id", "doc"))
+    sets = reps.join(lowest, "label").select("set_key", "first")
+    return marked.join(sets, "set_key", "left").select("doc", "id", "n_shingles", "set_key", "first")
+
+
 def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE,
                percent: int = PERCENT) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles and component_id, the smallest
     id that links reach."""
-    marked, reps, edges = links(docs, doc_id, text, k, percent)
-    labels = connected(edges)
-    reps = reps.select("rid", "set_key", "first_id").join(labels, "rid", "left").withColumn(
-        "label", F.coalesce("label", "rid"))
-    lowest = reps.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    sets = reps.join(lowest, "label").select("set_key", "component_id")
-    out = marked.join(sets, "set_key", "left")
-    own = F.when(F.col("set_key").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return out.select(F.col("id").alias(doc_id), "n_shingles", own.alias("component_id"))
+    own = F.when(F.col("set_key").isNull(), F.col("id")).otherwise(F.col("first.id"))
+    return classes(docs, doc_id, text, k, percent).select(F.col("id").alias(doc_id), "n_shingles", own.alias("component_id"))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE,
              percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one document of each component: the one of the smallest id.
-    Documents without shingles or without an id stay."""
-    ids = components(docs, doc_id, text, k, percent)
+    """``docs`` with one document of each component: the one of the smallest id (of
+    several texts with that id, the one of the smallest key).  Documents are told
+    apart by id and text, so another text under an id that goes stays.  Documents
+    without shingles or without an id stay."""
+    found = classes(docs, doc_id, text, k, percent)
     name = fresh("gone_", docs.columns)
-    gone = ids.where(quoted(doc_id) != F.col("component_id")).select(quoted(doc_id).alias(name)).distinct()
-    return docs.join(gone, quoted(doc_id) == F.col(name), "left_anti")
+    gone = found.where("id IS NOT NULL AND doc != first.doc").select(F.col("doc").alias(name)).distinct()
+    rows = docs.withColumn(name, text_key(quoted(doc_id), quoted(text)))
+    return rows.join(gone, name, "left_anti").select(*[quoted(c) for c in docs.columns])

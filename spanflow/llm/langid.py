@@ -42,8 +42,8 @@ def symbol_table() -> np.ndarray:
     table = np.zeros(0x110000, np.uint8)
     for c in range(0x110000):
         low = chr(c).lower()
-        if chr(c).isalpha() and len(low) == 1:
-            o = ord(low)
+        if chr(c).isalpha():
+            o = ord(low[0])  # a few letters have two in lower case
             table[c] = o - 96 if 97 <= o <= 122 else 27 + o % (SYMBOLS - 27)
     return table
 

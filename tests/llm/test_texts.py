@@ -157,6 +157,16 @@ def test_jaccard_components(spark, docs, no_docs, percent):
         assert jaccard_join.components(no_docs).count() == 0
 
 
+def test_one_of_each_component_stays_whatever_the_ids(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    d = spark.createDataFrame([(3, long), (5, long + " end"), (5, "another text under the same id"), (5, long + " end"), (3, long),
+                               (3, long + " stop"), (None, long), (7, ""), (8, None)], "doc_id long, text string")
+    left = Counter((r.doc_id, r.text) for r in jaccard_join.keep_one(d).collect())
+    assert sum(n for (i, t), n in left.items() if i and (t or "").startswith(long)) in (1, 2)  # equal rows are one document
+    assert len([1 for i, t in left if i and (t or "").startswith(long)]) == 1
+    assert left[5, "another text under the same id"] == 1 and left[None, long] == 1 and left[7, ""] == left[8, None] == 1
+
+
 def test_packing_round_trip(spark, docs, no_docs):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -242,5 +252,7 @@ def test_language_id(spark, docs, no_docs):
         assert 0 <= r.score <= 1
         assert (r.lang_pred == "und") == (not any(c.isalpha() for c in r.text or ""))
     assert langid.identify(no_docs).count() == 0
+    two = spark.createDataFrame([(1, "\u0130", "xx"), (2, "\u0130", None)], "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in langid.identify(two.union(two.withColumn("doc_id", F.lit(4)))).collect()} == {"xx"}
     nothing = langid.identify(docs.withColumn("lang", F.lit(None).cast("string")))
     assert {r.lang_pred for r in nothing.collect()} == {"und"}
