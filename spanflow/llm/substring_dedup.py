@@ -12,8 +12,8 @@ ends when none is left.
 * At full length the surviving windows themselves are counted.
 
 Equal texts are counted first: one of them takes part for all, with their number as
-its weight.  Texts are dealt out once, by their key; every level reuses that
-exchange.  Counting adds up before its shuffle, so a passage in a third of all
+its weight.  Rows are dealt out once, by text key and id, so that copies spread, and
+every level reuses that exchange.  Counting adds up before its shuffle, so a passage in a third of all
 documents is one row a task; positions come back through a join that Spark splits.
 
 Hashes of windows have 64 bits at the short lengths (a collision only costs work)
@@ -148,19 +148,22 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     base = docs.select(keys[key].alias("key"), keys[tag].alias("tag"), F.xxhash64(quoted(doc_id)).alias("who"), body.alias("text"))
     copies = base.groupBy("key", "tag").agg(F.count("*").alias("copies"), F.min("who").alias("lead"))
     copies = stored(copies.withColumn("rid", F.monotonically_increasing_id()), "texts")
-    # every level and the end read this one exchange: it must have the same columns in all
-    dealt = base.repartition(F.col("key"), F.col("tag"))
+    # every level and the end read this one exchange: it must have the same columns in all.
+    # The id takes part, so a text that a third of all rows hold is spread over the tasks
+    copies = copies.withColumnRenamed("lead", "who")
+    own_row = ["key", "tag", "who"]
+    dealt = base.repartition(*[F.col(c) for c in own_row])
     weight = F.least(F.col("copies"), F.lit(2)).cast("int").alias("weight")
-    texts = dealt.join(copies, ["key", "tag"]).where("who = lead").select("key", "tag", "rid", weight, "text")
+    texts = dealt.join(copies, own_row).select("key", "tag", "rid", weight, "text")
     places = None
     for level, _ in enumerate(lengths):
         src = texts
         if places is not None:
-            found = copies.join(places, "rid").select("key", "tag", "lead", "rid", "weight", "places")
-            src = dealt.join(found, ["key", "tag"]).where("who = lead")
+            found = copies.join(places, "rid").select(*own_row, "rid", "weight", "places")
+            src = dealt.join(found, own_row)
         places = _repeated(_candidates(src, level, lengths, places is not None), level == len(lengths) - 1)
-    found = copies.join(places.select("rid", "places"), "rid", "left").select("key", "tag", "lead", "copies", "places")
-    rows = dealt.join(found, ["key", "tag"]).where("who = lead")
+    found = copies.join(places.select("rid", "places"), "rid", "left").select(*own_row, "copies", "places")
+    rows = dealt.join(found, own_row)
     fields = [("n_words", "bigint"), ("n_removed", "bigint"), ("kept_sha256" if digest else "kept", "string")]
 
     def make():
