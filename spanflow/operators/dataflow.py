@@ -94,21 +94,25 @@ def zip_assign(left: DataFrame, right: DataFrame, keys: list[str], ord_col: str,
                counts: DataFrame | None = None) -> DataFrame:
     """``a, b = x, y``: pair by ordinal when both sides have the same
     count; otherwise each left is paired with the whole right side (one row
-    per left with ``dst`` NULL and ``whole`` = true).  One aggregate decides
-    the mode per statement (``counts`` = ``(keys, n_left, n_right)`` if the
-    caller has it from a cheaper source); one join pairs the ordinals."""
-    ls = left.select(*keys, ord_col, F.col(val).alias("src"))
-    rs = right.select(*keys, ord_col, F.col(val).alias("dst"))
+    per left with ``dst`` NULL and ``whole`` = true)."""
+    sides = (left.select(*keys, ord_col, val, F.lit(True).alias("_left"))
+             .unionByName(right.select(*keys, ord_col, val, F.lit(False).alias("_left"))))
+    return zip_sides(sides, keys, F.col("_left"), ord_col, val, counts)
+
+
+def zip_sides(sides: DataFrame, keys: list[str], is_left: Column, ord_col: str, val: str,
+              counts: DataFrame | None = None) -> DataFrame:
+    """J7 on one table of both sides (ordinals are unique per statement and
+    side): an aggregate on (statement, ordinal) pairs them, and one per
+    statement decides the mode (``counts`` = ``(keys, n_left, n_right)`` if
+    the caller has it from a cheaper source)."""
     if counts is None:
-        sides = ls.select(*keys, F.lit(0).alias("_s")).unionByName(rs.select(*keys, F.lit(1).alias("_s")))
-        counts = sides.groupBy(*keys).agg(F.count_if(F.col("_s") == 0).alias("n_left"),
-                                          F.count_if(F.col("_s") == 1).alias("n_right"))
+        counts = sides.groupBy(*keys).agg(F.count_if(is_left).alias("n_left"), F.count_if(~is_left).alias("n_right"))
     mode = counts.select(*keys, (F.col("n_left") != F.col("n_right")).alias("whole"))
-    lm = ls.join(mode, keys)
-    zipped = lm.filter(~F.col("whole")).join(rs, [*keys, ord_col], "left")
-    whole = lm.filter(F.col("whole")).withColumn("dst", F.lit(None).cast(rs.schema["dst"].dataType))
-    cols = [*keys, ord_col, "src", "dst", "whole"]
-    return zipped.select(*cols).unionByName(whole.select(*cols))
+    pairs = (sides.groupBy(*keys, ord_col)
+             .agg(F.max(F.when(is_left, F.col(val))).alias("src"), F.max(F.when(~is_left, F.col(val))).alias("_d"),
+                  F.count_if(is_left).alias("_n")).filter("_n > 0"))
+    return pairs.join(mode, keys).select(*keys, ord_col, "src", F.when(~F.col("whole"), F.col("_d")).alias("dst"), "whole")
 
 
 def merge_entries(entries: DataFrame, key: list[str], src_col: str, out: str = "sources") -> DataFrame:

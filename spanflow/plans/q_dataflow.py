@@ -112,11 +112,10 @@ def zip_assign(spark, sf):
     c = T(spark, sf, "conversations").select("conv_id", "turn", "role")
     # ordinals per side; a long conversation is cut into chunks of 1,000 turns
     chunk = F.floor(F.col("turn") / 1000)
-    u = group_positions(c.filter(F.col("role") == "user"), ["conv_id"], ["turn"], "ord", chunk=chunk)
-    a = group_positions(c.filter(F.col("role") == "assistant"), ["conv_id"], ["turn"], "ord", chunk=chunk)
+    sides = group_positions(c.filter(F.col("role").isin("user", "assistant")), ["conv_id", "role"], ["turn"], "ord", chunk=chunk)
     counts = c.groupBy("conv_id").agg(F.count_if(F.col("role") == "user").alias("n_left"),
                                       F.count_if(F.col("role") == "assistant").alias("n_right"))
-    return D.zip_assign(u, a, ["conv_id"], "ord", "turn", counts=counts)
+    return D.zip_sides(sides, ["conv_id"], F.col("role") == "user", "ord", "turn", counts=counts)
 
 
 @query("merge_entries", """
