@@ -181,15 +181,18 @@ def unroll_loops(acc: DataFrame, loop_col: str, passes: int = 2, init_col: str |
 
 
 def dataflow_edges(acc: DataFrame, doc: str = "doc_id", passes: int = 2, policy: Policy | None = None,
-                   init_col: str | None = None) -> DataFrame:
+                   init_col: str | None = None, chunk: Column | str | None = "block") -> DataFrame:
     """C5-C8 together on an access table ``(doc_id, block, loop_id, stmt_id,
     role, var, idx)``: statement edges (J4/J5) plus use edges from the
-    reaching definition over unrolled loops (W5 + W3), as a bag
-    ``(doc_id, src, dst)`` like the reference (T11)."""
+    reaching definition over unrolled loops (W5 + W3): ``(doc_id, src, dst)``,
+    statement edges as a bag, use edges once each.  ``chunk`` never decreases
+    along the order (block, pass, ...): a variable with very many accesses is
+    cut there and spread (see ``scan``)."""
     st = statement_edges(acc, [doc, "stmt_id"]).filter(F.col("src").isNotNull()).select(doc, "src", "dst")
     u = unroll_loops(acc.filter(F.col("role").isin("use", "def")), "loop_id", passes, init_col, policy)
     u = u.withColumn("_isdef", (F.col("role") == "def").cast("int"))
-    r = reaching_defs(u, [doc, "var"], ["block", "pass", "stmt_id", "_isdef", "idx"], F.col("role") == "def")
+    r = reaching_defs(u, [doc, "var"], ["block", "pass", "stmt_id", "_isdef", "idx"], F.col("role") == "def",
+                      chunk=chunk)
     uses = r.filter((F.col("role") == "use") & F.col("def_idx").isNotNull()) \
             .select(doc, F.col("def_idx").alias("src"), F.col("idx").alias("dst")).distinct()
     return st.unionByName(uses)

@@ -75,3 +75,12 @@ def test_outer_as_inner_equals_left_join(spark):
     got = sorted(tuple(r) for r in D.outer_as_inner(left, right, ["k"]).select("k", "l", "r").collect())
     exp = sorted(tuple(r) for r in left.join(right, "k", "left").select("k", "l", "r").collect())
     assert got == exp
+
+
+def test_chunked_edges_equal_one_window(spark):
+    """A variable used in many blocks (one of them NULL) and in loops."""
+    rows = [(d, b, "l" if b == 3 else None, (b or 0) * 10 + k, "def" if (k + (b or 0)) % 3 == 0 else "use", v, (b or 0) * 100 + 2 * k + n)
+            for d in (1, 2) for b in (None, 1, 2, 3, 4) for k in range(5) for n, v in enumerate("xy")]
+    acc = spark.createDataFrame(rows, "doc_id long, block int, loop_id string, stmt_id int, role string, var string, idx int")
+    whole, cut = (sorted(D.dataflow_edges(acc, chunk=c).collect()) for c in (None, "block"))
+    assert whole == cut and len(whole) > 40
