@@ -227,10 +227,10 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int =
                  F.first("n_shingles").alias("n")))
     reps = stored(reps.select(F.monotonically_increasing_id().alias("rid"), "set_key", "first", "n",
                               F.col("one.doc").alias("doc"), F.col("one.signatures").alias("signatures"), F.col("one.needs").alias("needs")), "reps")
-    postings = reps.select("rid", "n", "needs", F.explode("signatures").alias("sig"))
-    shared = (postings.groupBy("sig").agg(F.count("*").alias("held"), F.min("rid").alias("lo"), F.max("rid").alias("hi"))
-              .where(F.col("lo") != F.col("hi")).select("sig", "held"))
-    contested = stored(postings.join(shared, "sig"), "contested")
+    # each document has a signature once, and only what is shared gets its other columns: few bytes are shuffled
+    postings = reps.select("rid", F.explode("signatures").alias("sig"))
+    shared = postings.groupBy("sig").agg(F.count("*").alias("held")).where(F.col("held") > 1)
+    contested = stored(postings.join(shared, "sig").join(reps.select("rid", "n", "needs"), "rid"), "contested")
 
     # groups: the centre is the document whose signatures are held by the most
     votes = contested.groupBy("rid").agg(F.sum("held").alias("votes"))

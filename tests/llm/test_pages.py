@@ -91,3 +91,23 @@ def test_pipeline_stages(spark):
     packed = p.STAGES[-1][1](spark, docs, sf)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 4096").count() == 0
+
+
+def test_pipeline_near_duplicates_against_brute_force(spark):
+    import corpus_pipeline as p
+    texts = []
+    for g, changed in enumerate([(20, 60), (20, 60, 90), (50,), (10, 30, 50, 70)]):
+        words = [f"g{g}w{j}" for j in range(100)]
+        texts += [" ".join(words), " ".join(f"x{w}" if j in changed else w for j, w in enumerate(words))]
+
+    def shingles(t):
+        w = t.split()
+        return {tuple(w[a:a + 5]) for a in range(len(w) - 4)}
+
+    def similar(a, b):
+        return 100 * len(shingles(a) & shingles(b)) >= 80 * len(shingles(a) | shingles(b))
+    rows = list(enumerate(texts, 1))
+    want = {i for i, t in rows if not any(similar(t, u) for j, u in rows if j < i)}
+    assert want == {1, 3, 4, 5, 7, 8}  # two changes in a hundred words are similar, three are not
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id for r in p.near_duplicates(spark, d, "").collect()} == want
