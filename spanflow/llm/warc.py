@@ -37,6 +37,8 @@ _BREAK = "\r\n\r\n"
 _BOUNDARY = "\r\n\r\nWARC/1.1\r\n"
 #: A payload is cut after the first part of these, so that it never holds them.
 _CUT = re.compile("\r\n\r\nWARC(?=/1\\.1)")
+#: The line breaks before a part make one of these, so a part that begins so ends here.
+_HEAD = re.compile("(?:\r\n)?WARC(?=/1\\.1)")
 _CONTROL = re.compile("[\x00-\x20\x7f]")
 
 
@@ -45,16 +47,18 @@ def _b32(sha1: bytes) -> str:
 
 
 def cuts(text: str, chunk: int) -> Iterator[str]:
-    """Chunks of at most ``chunk`` characters, none holding a record boundary."""
+    """Chunks of at most ``chunk`` characters, none making a record boundary with
+    itself or the line breaks around it."""
     ends = [m.end() for m in _CUT.finditer(text)] + [len(text)]
     at = 0
+    if not text:
+        yield text
     for end in ends:
-        while end - at > chunk:
-            yield text[at:at + chunk]
-            at += chunk
-        if at < end or not text:
-            yield text[at:end]
-            at = end
+        while at < end:
+            head = _HEAD.match(text, at)
+            stop = min(end, at + chunk, head.end() if head else end)
+            yield text[at:stop]
+            at = stop
 
 
 def record_texts(page_id, url, text, refers_to, sha1: bytes, size: int, ordinal: int, chunk: int) -> Iterator[str]:

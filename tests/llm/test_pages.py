@@ -80,6 +80,28 @@ def test_chunk_table(spark, tmp_path):
     assert joined["8", "é" * 70000] == 2 and joined["11", "\r\n\r\nWARC/1.1"] == 1
 
 
+def test_payloads_that_begin_like_a_record(spark, tmp_path):
+    record = "WARC/1.1\r\nWARC-Type: response\r\nX-Page-ID: 99\r\n\r\n<html>"
+    texts = [record, "\r\n" + record, "\r\n\r\n" + record, "WARC/1.1", "\r\nWARC/1.1", "x" * 50 + record, "x" * 50 + "\r\n" + record,
+             "x" * 49 + "\r" + "\n" + record, "x" * 48 + "\r\n\r\n" + record, record * 3, "\n" + record, "WARC/1.1\r\n" * 20]
+    for t in texts:
+        for chunk in (1, 3, 7, 50, 1 << 16):
+            parts = list(warc.cuts(t, chunk))
+            assert "".join(parts) == t and max(map(len, parts)) <= chunk
+            assert not any(warc._BOUNDARY in (warc._BREAK + x + warc._BREAK + "WARC/1.1\r\n")[:-4] for x in parts)
+    d = spark.createDataFrame([(i, "http://a.b/", t) for i, t in enumerate(texts)], "page_id long, url string, html string").repartition(3)
+    want = Counter((i, len(t), base64.b32encode(hashlib.sha1(t.encode()).digest()).decode(), "response", True) for i, t in enumerate(texts))
+    for chunk in (1 << 16, 50):
+        got = warc.archived(d, chunk=chunk).collect()
+        assert Counter((r.page, r.bytes, r.digest, r.type, r.intact) for r in got) == want
+    path = str(tmp_path / "warc")
+    warc.write(d, path, chunk=50)
+    found = {}
+    for r in warc.payload_chunks(spark, path).orderBy("record", "part").collect():
+        found[r.page] = found.get(r.page, "") + r.data
+    assert found == {str(i): t for i, t in enumerate(texts)}
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as p
     sf = "/root/testdata/sf0.001"
