@@ -9,7 +9,9 @@ suspect.  A host is blocked if distrust is more than the threshold's part of bot
 Link rows are added up to host edges before anything is joined, so a host with a
 third of all pages is one row of the graph; the page table is joined with one
 row per host, a join that Spark splits on the page side.  Ranks are written to the
-shared folder after every round.
+shared folder after every round.  Rounds go on until the ranks change by less than
+``TOLERANCE`` in all and no host is reached for the first time, so every host that links
+lead to has its part, however long the way (a part as small as doubles go).
 
 Defined cases: a NULL url, or one without ``://``, has an empty host and path and no
 rule fits it; the empty host is never a node, its pages get the verdict of an
@@ -20,6 +22,8 @@ an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +32,9 @@ from .common import fresh, quoted, stored
 RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"),
          ("net/fr/", "block")]
 DAMPING = 0.85
-ROUNDS = 12
+#: Of the summed change of both ranks in a round, each of which adds up to 1 at most.
+#: Damping bounds the rounds to that, log(TOLERANCE / 4) / log(DAMPING), about 137.
+TOLERANCE = 1e-9
 THRESHOLD = 0.5
 _LINK = r"""(?i)\b(?:href|src)\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""
 
@@ -64,9 +70,10 @@ def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     return rows.groupBy("src", "dst").agg(F.count("*").cast("double").alias("n"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int | None = None,
+              tolerance: float = TOLERANCE) -> DataFrame:
     """host, trust, distrust from seeds (host, trust, distrust) and edges (src,
-    dst, n): a fixed number of rounds, what is left changes by damping ** rounds."""
+    dst, n): until the ranks stand, or a fixed number of rounds if one is given."""
     edges = stored(edges, "host_edges")
     out = edges.groupBy(F.col("src").alias("host")).agg(F.sum("n").alias("n_out"))
     into = edges.groupBy(F.col("dst").alias("host")).agg(F.sum("n").alias("n_in"))
@@ -80,22 +87,32 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, roun
     ranks = nodes.withColumn("trust", F.col("trust0")).withColumn("distrust", F.col("distrust0"))
     if edges.isEmpty():  # nothing flows: the seeds are the ranks
         return ranks.select("host", (F.col("trust") * (1 - damping)).alias("trust"), (F.col("distrust") * (1 - damping)).alias("distrust"))
-    for _ in range(rounds):
+    for k in count():
+        if k == rounds:
+            break
         own = ranks.select("host", (F.col("trust") / F.col("n_out")).alias("give"), (F.col("distrust") / F.col("n_in")).alias("blame"))
         along = edges.join(own.withColumnRenamed("host", "src"), "src").select(
             F.col("dst").alias("host"), (F.col("give") * F.col("n")).alias("t"), F.lit(0.0).alias("d"))
         against = edges.join(own.withColumnRenamed("host", "dst"), "dst").select(
             F.col("src").alias("host"), F.lit(0.0), (F.col("blame") * F.col("n")))
         got = along.union(against).groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
-        new = nodes.join(got, "host", "left")
+        before = ranks.select(*nodes.columns, F.col("trust").alias("trust_before"), F.col("distrust").alias("distrust_before"))
+        new = before.join(got, "host", "left")
         ranks = stored(new.select(
-            *nodes.columns, (F.lit(1 - damping) * F.col("trust0") + damping * F.coalesce("t", F.lit(0.0))).alias("trust"),
+            *nodes.columns, "trust_before", "distrust_before", (F.lit(1 - damping) * F.col("trust0") + damping * F.coalesce("t", F.lit(0.0))).alias("trust"),
             (F.lit(1 - damping) * F.col("distrust0") + damping * F.coalesce("d", F.lit(0.0))).alias("distrust")), "ranks")
+        if rounds is None:
+            change = sum(F.abs(F.col(x) - F.col(f"{x}_before")) for x in ("trust", "distrust"))
+            reached = F.greatest(*[((F.col(x) > 0) & (F.col(f"{x}_before") == 0)).cast("int") for x in ("trust", "distrust")])
+            left = ranks.agg(F.sum(change).alias("change"), F.max(reached).alias("reached")).first()
+            if left.change < tolerance and not left.reached:
+                break
     return ranks.select("host", "trust", "distrust")
 
 
 def judge(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", rules=RULES,
-          threshold: float = THRESHOLD, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+          threshold: float = THRESHOLD, damping: float = DAMPING, rounds: int | None = None,
+          tolerance: float = TOLERANCE) -> DataFrame:
     """page_id, url, host, path, rule, verdict (allow or block), and the host's
     trust, distrust and suspicion (distrust's part of both; NULL if unknown)."""
     rows = pages.select(quoted(page_id).alias("page_id"), quoted(url).alias("url"), host_of(quoted(url)).alias("host"),
@@ -105,7 +122,7 @@ def judge(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: st
     seeds = ruled.where("verdict IS NOT NULL AND host != ''").groupBy("host").agg(
         F.sum((F.col("verdict") == "allow").cast("double")).alias("trust"),
         F.sum((F.col("verdict") == "block").cast("double")).alias("distrust"))
-    ranks = propagate(seeds, host_edges(pages, url, html), damping, rounds)
+    ranks = propagate(seeds, host_edges(pages, url, html), damping, rounds, tolerance)
     # the same scale for both: a host's part of all trust, and of all distrust
     both = F.col("trust") + F.col("distrust")
     ranks = ranks.withColumn("suspicion", F.when(both > 0, F.col("distrust") / both))

@@ -54,6 +54,25 @@ def test_ranks_against_brute_force(spark):
     assert got.count() == len(nodes)
 
 
+def test_distrust_reaches_the_end_of_a_long_chain(spark):
+    n = 16
+    rows = [(k, f"http://h{k}.org/", f"<a href='http://h{k + 1}.org/'>") for k in range(n)] + [(n, f"http://h{n}.org/", "")]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r for r in url_filter.judge(d, rules=[(f"h{n}.org/", "block")]).collect()}
+    for k in range(n + 1):
+        assert abs(got[k].distrust / (.15 * .85 ** (n - k)) - 1) < 1e-9 and got[k].suspicion == 1 and got[k].verdict == "block", k
+
+
+def test_ranks_stand_whatever_the_tolerance_reaches(spark):
+    seeds = spark.createDataFrame([("c3", 0.0, 1.0), ("b", 1.0, 0.0)], "host string, trust double, distrust double")
+    edges = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0), ("c0", "c1", 1.0), ("c1", "c2", 1.0), ("c2", "c3", 1.0)],
+                                  "src string, dst string, n double")
+    rough = {r.host: r for r in url_filter.propagate(seeds, edges, tolerance=9.0).collect()}
+    assert all(rough[f"c{k}"].distrust > 0 for k in range(4))  # no host is left out for a loose tolerance
+    got = {r.host: r for r in url_filter.propagate(seeds, edges, damping=.5, tolerance=1e-6).collect()}
+    assert abs(got["b"].trust - 2 / 3) < 1e-6 and abs(got["a"].trust - 1 / 3) < 1e-6  # b = .5 + .5 a, a = .5 b
+
+
 def test_warc_round_trip(spark):
     for chunk in (1 << 16, 50):
         got = warc.archived(pages(spark), chunk=chunk).collect()
