@@ -30,8 +30,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeated runs of lines are deleted from the texts."""
-    rows = line_dedup.dedup_lines(docs)
+    """Later repeated runs of lines are deleted from the texts: two lines or more, or
+    one of 8 words or more."""
+    rows = line_dedup.dedup_lines(docs, single=line_dedup.SINGLE)
     n = F.length("text").cast("bigint")
     return rows.select(*[n.alias(c) if c == "n_chars" else F.col(c) for c in rows.columns])
 

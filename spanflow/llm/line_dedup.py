@@ -3,17 +3,21 @@
 A text's content lines (those with a word) are hashed.  Of every ``run``
 consecutive content lines the smallest hash is selected: these minima are the
 fingerprints, and two places that share ``run`` lines are guaranteed to share
-one.  Only fingerprints found at two places or more go on.  Around them the match
-is extended both ways over the windows that contain the fingerprint, each window
-is joined with the first place of its lines, and the lines of every later window
-go; longer runs are the union of their windows.
+one.  Only windows whose fingerprint is found at two places or more go on.  Each is
+joined with the first place of its lines, and the lines of every later window go;
+longer runs are the union of their windows.
+
+With ``single``, one line of at least so many words is a run as well, so that it goes
+wherever it repeats, between whatever lines; shorter lines (headings, list items,
+greetings) only go with a neighbour.
 
 Places are ordered by document id (NULL first), then text key, then line.  Only
 DataFrame functions are used: no Python on the executors.
 
 Defined cases: rows of equal id and text are one document and get the same
 result; blank lines are never matched and never removed; texts with fewer than
-``run`` content lines, empty and NULL texts stay as they are; a text all of whose
+``run`` content lines (and no single line that is a run), empty and NULL texts stay as
+they are; a text all of whose
 lines go is ''; an empty table stays empty; other columns are carried along.  A
 third of all lines may be equal: hot hashes are pre-aggregated before their
 shuffle and the join back is one that Spark splits (one row per key on the other
@@ -28,6 +32,8 @@ from pyspark.sql import functions as F
 from .common import fresh, quoted, text_key
 
 RUN = 2
+#: Words of a line that the pipeline takes for a run of its own.
+SINGLE = 8
 _WORD = r"[^\x20\x09-\x0D]"
 
 
@@ -35,28 +41,44 @@ def _key(docs: DataFrame, doc_id: str, text: str):
     return text_key(quoted(doc_id), quoted(text))
 
 
-def windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run: int = RUN) -> DataFrame:
-    """Every ``run`` consecutive content lines of every document: doc, id, start,
-    positions, key (of the lines), and the fingerprint's hash and line."""
+def windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run: int = RUN,
+            single: int | None = None) -> DataFrame:
+    """Every ``run`` consecutive content lines of every document, and every one of
+    at least ``single`` words: doc, id, start, positions, key (of the lines), and the
+    fingerprint's hash and line."""
     line = F.transform(F.split(quoted(text), "\n"), lambda x, i: F.struct(i.alias("pos"), x.alias("line")))
     content = F.filter(line, lambda x: x["line"].rlike(_WORD))
     hashed = F.transform(content, lambda x: F.struct(
-        F.xxhash64(x["line"]).alias("h"), x["pos"].alias("pos"), F.unhex(F.md5(x["line"].cast("binary"))).alias("d")))
+        F.xxhash64(x["line"]).alias("h"), x["pos"].alias("pos"), F.unhex(F.md5(x["line"].cast("binary"))).alias("d"),
+        *([] if single is None else [(F.regexp_count(x["line"], F.lit(_WORD + "+")) >= single).alias("long")])))
     rows = docs.select(_key(docs, doc_id, text).alias("doc"), quoted(doc_id).alias("id"), hashed.alias("lines"))
-    rows = rows.where(F.size("lines") >= run)
-    shifted = [F.slice("lines", F.lit(j + 1), F.size("lines") - (run - 1)).alias(f"l{j}") for j in range(run)]
+    if single is None:
+        rows = rows.where(F.size("lines") >= run)
+        shifted = [F.slice("lines", F.lit(j + 1), F.size("lines") - (run - 1)) for j in range(run)]
+    else:  # a window for each line: those at the end lack lines, and only count as single ones
+        rows = rows.where(F.size("lines") > 0)
+        shifted = [F.slice("lines", F.lit(j + 1), F.size("lines")) for j in range(run)]
+    shifted = [x.alias(f"l{j}") for j, x in enumerate(shifted)]
     w = rows.select("doc", "id", *shifted).select("doc", "id", F.explode(F.arrays_zip(*[f"l{j}" for j in range(run)])).alias("w"))
     at = [F.col(f"w.l{j}") for j in range(run)]
-    low = F.array_min(F.array(*[F.struct(x["h"].alias("h"), x["pos"].alias("pos")) for x in at]))
-    w = w.select("doc", "id", at[0]["pos"].alias("start"), F.array(*[x["pos"] for x in at]).alias("positions"),
-                 F.unhex(F.md5(F.concat(*[x["d"] for x in at]))).alias("key"), low.alias("low"))
-    return w.select("doc", "id", "start", "positions", "key", F.col("low.h").alias("print"),
-                    F.xxhash64("doc", "low.pos").alias("place"))
+
+    def window(lines):
+        low = F.array_min(F.array(*[F.struct(x["h"].alias("h"), x["pos"].alias("pos")) for x in lines]))
+        return F.struct(F.array(*[x["pos"] for x in lines]).alias("positions"),
+                        F.unhex(F.md5(F.concat(*[x["d"] for x in lines]))).alias("key"), low.alias("low"))
+    if single is None:
+        w = w.select("doc", "id", at[0]["pos"].alias("start"), window(at).alias("w"))
+    else:
+        made = F.array(F.when(at[-1].isNotNull(), window(at)), F.when(at[0]["long"], window(at[:1])))
+        w = w.select("doc", "id", at[0]["pos"].alias("start"), F.explode(made).alias("w")).where("w IS NOT NULL")
+    return w.select("doc", "id", "start", "w.positions", "w.key", F.col("w.low.h").alias("print"),
+                    F.xxhash64("doc", "w.low.pos").alias("place"))
 
 
-def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run: int = RUN) -> DataFrame:
+def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run: int = RUN,
+                   single: int | None = None) -> DataFrame:
     """doc and the sorted positions of its lines that repeat an earlier run."""
-    w = windows(docs, doc_id, text, run)
+    w = windows(docs, doc_id, text, run, single)
     shared = (w.groupBy("print").agg(F.min("place").alias("a"), F.max("place").alias("b"))
               .where(F.col("a") != F.col("b")).select("print"))
     seeds = w.join(shared, "print", "left_semi").select("doc", "id", "start", "positions", "key")
@@ -68,11 +90,11 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run: int = RUN,
-                counts: tuple[str, str] | None = None) -> DataFrame:
+                counts: tuple[str, str] | None = None, single: int | None = None) -> DataFrame:
     """``docs`` whose texts have lost the later repeated runs; ``counts`` names
     columns for the lines before and the lines removed."""
     doc, gone, lines, kept = (fresh(n, docs.columns) for n in ("doc_", "gone_", "lines_", "kept_"))
-    repeated = repeated_lines(docs, doc_id, text, run).select(F.col("doc").alias(doc), F.col("gone").alias(gone))
+    repeated = repeated_lines(docs, doc_id, text, run, single).select(F.col("doc").alias(doc), F.col("gone").alias(gone))
     rows = docs.withColumn(doc, _key(docs, doc_id, text)).join(repeated, doc, "left")
     rows = rows.withColumn(lines, F.split(quoted(text), "\n"))
     rows = rows.withColumn(kept, F.when(F.col(gone).isNotNull(), F.array_except(

@@ -109,6 +109,29 @@ def test_line_dedup(docs, no_docs, run):
     assert line_dedup.dedup_lines(no_docs, counts=("a", "b")).count() == 0
 
 
+@pytest.mark.parametrize("run, single", [(2, 1), (2, 4), (3, 4)])
+def test_line_dedup_takes_long_single_lines(spark, docs, run, single):
+    line = "one long line of eight words or more"
+    more = [(20, f"{line}\na1\nb1"), (21, f"a2\n{line}\nb2"), (22, line), (23, f"short\nc\n\n{line}"), (24, "a3\nshort\nb3"), (25, line + " ")]
+    d = docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string")).repartition(3)
+    seen, out = set(), {}
+    for has, i, t in sorted({(r.doc_id is not None, r.doc_id or 0, r.text) for r in d.collect() if r.text is not None}):
+        lines = t.split("\n")
+        content = [k for k, x in enumerate(lines) if BLANK.search(x)]
+        gone = set()
+        for a, k in enumerate(content):
+            for win in ([content[a:a + run]] if a + run <= len(content) else []) + ([[k]] if len(BLANK.findall(lines[k])) >= single else []):
+                key = tuple(lines[x] for x in win)
+                if key in seen:
+                    gone |= set(win)
+                seen.add(key)
+        out[has, i, t] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+    assert out[True, 22, line] == "" and out[True, 21, f"a2\n{line}\nb2"] == "a2\nb2"
+    assert single == 1 or out[True, 24, "a3\nshort\nb3"] == "a3\nshort\nb3"
+    want = Counter((r.doc_id, out.get((r.doc_id is not None, r.doc_id or 0, r.text))) for r in d.collect())
+    assert rows(line_dedup.dedup_lines(d, run=run, single=single), "doc_id", "text") == want
+
+
 def near_copies():
     rng = np.random.default_rng(5)
     out = []
