@@ -6,8 +6,9 @@ returns a DataFrame, which is written as Parquet and read again as the next
 one's ``docs``.  All but the last return the columns of ``documents``.
 
 Defined cases: documents with NULL or empty texts are rejected by the quality
-rules; rows of equal id and text are treated alike by every stage; an empty
-table gives an empty packing; further columns are carried up to the packing,
+rules; rows of equal id and text are treated alike by every stage, and of those with
+words one is left by the near-duplicate stage, which also takes rows without an id
+as copies; an empty table gives an empty packing; further columns are carried up to the packing,
 whose rows hold doc_id and the piece columns only.
 """
 
@@ -40,7 +41,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents with 80 % of their 5-word shingles in common one
     stays (op8's limits, 90 % of 3-word shingles, are that query's own)."""
-    return jaccard_join.keep_one(docs, k=5, percent=80)
+    return jaccard_join.keep_one(docs, k=5, percent=80, keep_nulls=False)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -209,8 +209,9 @@ def connected(edges: DataFrame) -> DataFrame:
 
 
 def _first(id_: str, doc: str):
-    """The document of the smallest id (id, doc); NULL if none has an id."""
-    return F.min(F.when(F.col(id_).isNotNull(), F.struct(F.col(id_).alias("id"), F.col(doc).alias("doc")))).alias("first")
+    """The document of the smallest id (id, doc); without any id, that of the
+    smallest key."""
+    return F.min(F.struct(F.col(id_).isNull().alias("no_id"), F.col(id_).alias("id"), F.col(doc).alias("doc"))).alias("first")
 
 
 def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE,
@@ -282,7 +283,8 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int =
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE,
             percent: int = PERCENT) -> DataFrame:
     """One row per row of ``docs``: doc key, id, n_shingles and ``first``, the
-    document (id, doc) of the smallest id that links reach (NULL without shingles)."""
+    document (id, doc) of the smallest id that links reach, by key where none has an
+    id (NULL without shingles)."""
     marked, reps, edges = links(docs, doc_id, text, k, percent)
     labels = connected(edges)
     reps = reps.select("rid", "set_key", "first.id", "first.doc").join(labels, "rid", "left").withColumn(
@@ -301,13 +303,22 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: i
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE,
-             percent: int = PERCENT) -> DataFrame:
+             percent: int = PERCENT, keep_nulls: bool = True) -> DataFrame:
     """``docs`` with one document of each component: the one of the smallest id (of
     several texts with that id, the one of the smallest key).  Documents are told
-    apart by id and text, so another text under an id that goes stays.  Documents
-    without shingles or without an id stay."""
+    apart by id and text, so another text under an id that goes stays; of rows of
+    equal id and text one stays.  Rows without shingles stay, and those without an id
+    unless ``keep_nulls`` is False: then they come after all ids, by key."""
     found = classes(docs, doc_id, text, k, percent)
-    name = fresh("gone_", docs.columns)
-    gone = found.where("id IS NOT NULL AND doc != first.doc").select(F.col("doc").alias(name)).distinct()
-    rows = docs.withColumn(name, text_key(quoted(doc_id), quoted(text)))
-    return rows.join(gone, name, "left_anti").select(*[quoted(c) for c in docs.columns])
+    gone_as, row_as = fresh("gone_", docs.columns), fresh("row_", docs.columns)
+    member = F.col("set_key").isNotNull() & (F.col("id").isNotNull() if keep_nulls else F.lit(True))
+    gone = found.where(member & (F.col("doc") != F.col("first.doc"))).select(F.col("doc").alias(gone_as)).distinct()
+    thinned = F.coalesce(quoted(text).cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    if keep_nulls:
+        thinned = thinned & quoted(doc_id).isNotNull()
+    # of equal rows the one whose other columns hash lowest, so that a second run keeps the same
+    whole = F.struct(*[quoted(c) for c in docs.columns])
+    rows = (docs.where(thinned).groupBy(text_key(quoted(doc_id), quoted(text)).alias(gone_as))
+            .agg(F.min_by(whole, F.xxhash64(F.to_json(whole))).alias(row_as)).join(gone, gone_as, "left_anti"))
+    rows = rows.select(*[F.col(row_as).getField(c).alias(c) for c in docs.columns])
+    return rows.unionByName(docs.where(~thinned))

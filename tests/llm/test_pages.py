@@ -152,3 +152,16 @@ def test_pipeline_near_duplicates_against_brute_force(spark):
     assert want == {1, 3, 4, 5, 7, 8}  # two changes in a hundred words are similar, three are not
     d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert {r.doc_id for r in p.near_duplicates(spark, d, "").collect()} == want
+
+
+def test_pipeline_leaves_one_copy_whatever_the_ids(spark):
+    import corpus_pipeline as p
+    long, other = (" ".join(f"{c}{i}" for i in range(90)) for c in "wo")
+    rows = [(None, long, "a"), (None, long, "b"), (None, long + " end", "a"), (None, long + " stop", "a"),
+            (4, other, "a"), (4, other, "a"), (4, other, "b"), (None, other, "a"), (5, other + " end", "a"), (6, "", "a"), (6, "", "a")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, `a.source` string").repartition(3)
+    left = [p.near_duplicates(spark, d.repartition(n), "").collect() for n in (1, 4)]
+    assert sorted(map(str, left[0])) == sorted(map(str, left[1]))
+    assert [r.doc_id for r in left[0] if r.text.startswith("o")] == [4]
+    assert [r.doc_id for r in left[0] if r.text.startswith("w")] == [None]
+    assert len(left[0]) == 4 and left[0][0].asDict().keys() == {"doc_id", "text", "a.source"}
