@@ -9,8 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (decontaminate, jaccard_join, langid, license, line_dedup, packing, quality, substring_dedup, url_filter,
-               warc)
+from . import (blob_ledger, decontaminate, jaccard_join, langid, license, line_dedup, max_sketch, merkle, packing, quality,
+               substring_dedup, url_filter, warc)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -165,3 +165,106 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = warc.archived(table(spark, sf_dir, "pages"))
     return rows.select(F.col("page").alias("page_id"), F.col("bytes").alias("payload_bytes"),
                        F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to", "intact")
+
+
+def _found_sql(no: int, rule: blob_ledger.Rule) -> str:
+    pattern = "'" + rule.pattern.replace("'", "''") + "'"
+    return f"""SELECT doc_id, {no} AS no, '{rule.kind}' AS kind, {rule.least} AS least, generate_subscripts(m, 1) AS i,
+  unnest(m) AS x, unnest(g) AS v, unnest(s[1:len(m)]) AS gap
+  FROM (SELECT doc_id, regexp_extract_all(t, {pattern}) AS m, regexp_extract_all(t, {pattern}, {rule.group}) AS g,
+        string_split_regex(t, {pattern}) AS s FROM d)"""
+
+
+_BASE_KINDS = ("assign", "access", "hex")
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({" UNION ALL ".join(_found_sql(no, r) for no, r in enumerate(blob_ledger.RULES))}),
+p AS (SELECT *, CAST(sum(length(gap) + length(x)) OVER (PARTITION BY doc_id, no ORDER BY i) AS BIGINT) AS e FROM f),
+s AS (SELECT doc_id, no, kind, e - length(x) AS b, kind || ':' || (e - length(x)) || ':' || e AS span FROM p WHERE length(v) >= least),
+g AS (SELECT doc_id, count(*) FILTER (no = 0) AS n_assign, count(*) FILTER (no = 1) AS n_access, count(*) FILTER (no = 2) AS n_hex,
+        string_agg(span, ',' ORDER BY b, no) FILTER (no < 3) AS base, string_agg(span, ',' ORDER BY b, no) AS spans FROM s GROUP BY 1)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (doc_id)""")
+def op11_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = blob_ledger.scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+    def of(*kinds):
+        return F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    base = blob_ledger.spelled(of(*_BASE_KINDS))
+    return rows.select("doc_id", *[F.size(of(k)).cast("bigint").alias(f"n_{k}") for k in _BASE_KINDS],
+                       F.sha2(base.cast("binary"), 256).alias("base_sha256"), blob_ledger.spelled(F.col("spans")).alias("spans"))
+
+
+_TERMS_SQL = f"regexp_extract_all({LOWER_SQL}, " + r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+@query(f"""
+WITH t AS (SELECT doc_id, unnest({_TERMS_SQL}) AS term FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+dl AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM tf GROUP BY 1),
+c AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM dl),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM df, c),
+m AS (SELECT doc_id, 25 + (75 * n * docs) // terms AS m FROM dl, c),
+q AS (SELECT item_id, unnest({_TERMS_SQL}) AS term FROM benchmark),
+s AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+      FROM q JOIN w USING (term) JOIN tf USING (term) JOIN m USING (doc_id) GROUP BY 1, 2)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10""")
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return max_sketch.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _merkle_sql(levels: int) -> str:
+    """Trees of up to 16 ** levels leaves, one common table expression a level; a
+    tree's root stays as it is on the levels above it."""
+    def field(c, text=None):
+        v = text or f"CAST({c} AS VARCHAR)"
+        return f"coalesce(strlen({v}) || ':' || {v}, '-')"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+    def of(text):
+        return "sha256(" + " || ".join(field(c, text if c == "text" else None) for c in merkle.FIELDS) + ")"
+    crc = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)),
+      lambda a, b: list_reduce(list_prepend(xor(a, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, 3988292384::BIGINT * (x & 1)))), 4294967295::BIGINT)"""
+
+    def level(k, a, tree):
+        """Nodes of level k + 1, and of level k with the digests beside each."""
+        over = f"OVER (PARTITION BY {tree}, p // 16 ORDER BY p ROWS BETWEEN"
+        return f"""{a}s{k} AS (SELECT {tree}, p, size, d,
+  CASE WHEN size > 1 THEN coalesce(string_agg(d, '') {over} UNBOUNDED PRECEDING AND 1 PRECEDING), '') ELSE '' END AS l,
+  CASE WHEN size > 1 THEN coalesce(string_agg(d, '') {over} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') ELSE '' END AS r FROM {a}{k}),
+{a}{k + 1} AS (SELECT {tree}, p // 16 AS p, (any_value(size) + 15) // 16 AS size,
+  CASE WHEN any_value(size) > 1 THEN sha256(string_agg(d, '' ORDER BY p)) ELSE any_value(d) END AS d FROM {a}{k} GROUP BY {tree}, p // 16)"""
+
+    def path(k, a, b, at, tree):
+        """Folded digest and proof of every leaf after level k."""
+        return f"""{b}{k + 1} AS (SELECT x.* EXCLUDE (f, w), CASE WHEN s.size > 1 THEN sha256(s.l || f || s.r) ELSE f END AS f, w || s.l || s.r AS w
+  FROM {b}{k} x JOIN {a}s{k} s ON s.{tree} = x.{tree} AND s.p = x.{at} // {16 ** k})"""
+    n = range(levels)
+    return f"""WITH h AS (SELECT doc_id, coalesce('v' || source, 'n') AS tree, {of("text")} AS leaf,
+  CASE WHEN {crc} % 5 = 0 THEN {of(lower)} ELSE {of("text")} END AS shown FROM documents),
+g AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS q, count(*) OVER (PARTITION BY tree) AS size FROM h),
+a0 AS (SELECT tree, q AS p, size, leaf AS d FROM g),
+{", ".join(level(k, "a", "tree") for k in n)},
+top AS (SELECT 0 AS one, tree, d, row_number() OVER (ORDER BY tree) - 1 AS q, count(*) OVER () AS size FROM a{levels}),
+b0 AS (SELECT one, q AS p, size, d FROM top),
+{", ".join(level(k, "b", "one") for k in n)},
+x0 AS (SELECT doc_id, leaf, tree, q, shown AS f, '' AS w FROM g),
+{", ".join(path(k, "a", "x", "q", "tree") for k in n)},
+y0 AS (SELECT x.doc_id, x.leaf, x.f, x.w, t.one, t.q, t.d AS subroot FROM x{levels} x JOIN top t USING (tree)),
+{", ".join(path(k, "b", "y", "q", "one") for k in n)}
+SELECT doc_id, leaf, subroot, b.d AS root, sha256(w) AS proof_sha256, f AS folded_root, f = b.d AS verified
+FROM y{levels}, b{levels} b"""
+
+
+@query(_merkle_sql(5))
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    rows = merkle.manifest(docs, altered=(tampered, {"text": merkle.lowered()}), keep=["doc_id"])
+    return rows.select("doc_id", "leaf", "subroot", "root", merkle.digest(merkle.proof(F.col("proof"))).alias("proof_sha256"),
+                       "folded_root", "verified")
