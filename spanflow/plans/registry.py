@@ -19,6 +19,6 @@ def query(name: str, sql: str | None = None):
 
 
 def load_all_plans():
-    from . import (q_code, q_dataflow, q_grammar, q_kernel, q_lists, q_structure, q_tokens,  # noqa: F401  (registration)
-                   q_vectors)
+    from . import (q_code, q_dataflow, q_flow, q_grammar, q_kernel, q_lists, q_structure,  # noqa: F401  (registration)
+                   q_tokens, q_vectors)
     return QUERIES, ORACLE
