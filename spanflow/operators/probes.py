@@ -1,93 +1,12 @@
-"""Probes (M1-M6) on Spark ML.
-
-The driver only loops over the small list of (key, layer) probe specs and
-receives scores; the data stays in DataFrames and every fit is a
-distributed Spark ML job.  Scaling statistics and class weights are
-aggregates; the only values brought to the driver are per-dimension means
-and deviations (bounded by the vector width) to build the scaling
-expression.
-"""
+"""Least-squares probes (M2, M3) on Spark ML; the logistic ones are in :mod:`.solver`."""
 
 from __future__ import annotations
 
-import math
-from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
-from typing import Iterable
-
-from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import pending
-from .metrics import balanced_weights
-
-
-def _vector_stats(train: DataFrame, arr: str) -> tuple[list[float], list[float]]:
-    """Per-dimension mean and population std of an array column (std 0 -> 1)."""
-    ex = train.select(F.posexplode(arr).alias("d", "x"))
-    rows = ex.groupBy("d").agg(F.avg(F.col("x").cast("double")).alias("m"),
-                               F.stddev_pop(F.col("x").cast("double")).alias("s")).collect()
-    rows = sorted(rows, key=lambda r: r.d)
-    return [r.m for r in rows], [(r.s if r.s not in (None, 0.0) else 1.0) for r in rows]
-
-
-def standardize_vectors(df: DataFrame, arr: str, mean: list[float], std: list[float], out: str = "features") -> DataFrame:
-    """A14 on an array column, then an ML vector."""
-    m = F.array(*[F.lit(float(v)) for v in mean])
-    s = F.array(*[F.lit(float(v)) for v in std])
-    z = F.transform(F.col(arr), lambda x, i: (x.cast("double") - F.element_at(m, i + 1)) / F.element_at(s, i + 1))
-    return df.withColumn(out, array_to_vector(z))
-
-
-def fit_logistic(df: DataFrame, arr: str, y: str, split: str = "split", max_iter: int = 1000,
-                 stats: tuple[list[float], list[float]] | None = None, tol: float = 1e-4) -> tuple[DataFrame, dict]:
-    """M1: balanced-class logistic regression on standardized features,
-    trained on split 0; regParam = 1 / n_train matches an L2 penalty of weight
-    1/2 on a weighted loss sum (C = 1), and the tolerance 1e-4 is that solver's
-    default.  Returns the predictions of split 1 and facts about the fit: rows
-    trained on, whether it ended before ``max_iter`` steps, and whether its loss is at
-    most ln 2, that of a constant half (which holds for every optimum of two classes)."""
-    train = df.filter(F.col(split) == 0)
-    mean, std = stats or _vector_stats(train, arr)
-    data = standardize_vectors(df, arr, mean, std).withColumn("_y", F.col(y).cast("double"))
-    # class table: one row per class (bounded), so it is collected and broadcast
-    wrows = balanced_weights(data.filter(F.col(split) == 0), "_y").collect()
-    n_train = sum(r["n_c"] for r in wrows)
-    wt = data.sparkSession.createDataFrame([(float(r["_y"]), float(r["weight"])) for r in wrows], "_y double, weight double")
-    tr = data.filter(F.col(split) == 0).join(F.broadcast(wt), "_y")
-    lr = LogisticRegression(featuresCol="features", labelCol="_y", weightCol="weight", maxIter=max_iter,
-                            regParam=1.0 / max(n_train, 1), elasticNetParam=0.0, standardization=False, tol=tol)
-    model = lr.fit(tr)
-    keep = [c for c in df.columns if c not in (arr, "y", "yhat")]
-    pred = model.transform(data.filter(F.col(split) == 1)).select(*keep,
-                                                                  F.col("_y").alias("y"), F.col("prediction").alias("yhat"))
-    return pred, {"n_train": n_train, "converged": model.summary.totalIterations < max_iter,
-                  "beats_constant": model.summary.objectiveHistory[-1] <= math.log(2) + 1e-9}
-
-
-def logistic_probe(df: DataFrame, arr: str, y: str, split: str = "split", max_iter: int = 1000,
-                   stats: tuple[list[float], list[float]] | None = None) -> tuple[DataFrame, DataFrame]:
-    """M1 as (predictions, scores), scores = (accuracy, n_test)."""
-    pred, _ = fit_logistic(df, arr, y, split, max_iter, stats)
-    return pred, pred.agg(F.avg((F.col("y") == F.col("yhat")).cast("double")).alias("accuracy"), F.count("*").alias("n_test"))
-
-
-def outcome(pred: DataFrame) -> tuple[float, int, dict[tuple[float, float], int]]:
-    """(accuracy, rows, confusion matrix) of predictions: one aggregate, of which
-    one number per pair of classes reaches the driver."""
-    cells = {(r["y"], r["yhat"]): r["n"] for r in pred.groupBy("y", "yhat").agg(F.count("*").alias("n")).collect()}
-    n = sum(cells.values())
-    return sum(v for (y, yhat), v in cells.items() if y == yhat) / max(n, 1), n, cells
-
-
-def at_once(fit, specs: list, workers: int = 8) -> list:
-    """Fits of several probes as concurrent Spark jobs, results in order."""
-    with ThreadPoolExecutor(workers) as pool:
-        return list(pool.map(fit, specs))
-
 
 def linear_probe(df: DataFrame, arr: str, y: str, split: str = "split") -> tuple[DataFrame, DataFrame]:
     """M2 (M3 after pad + flatten): least squares by the normal equations,
@@ -99,54 +18,3 @@ def linear_probe(df: DataFrame, arr: str, y: str, split: str = "split") -> tuple
     pred = model.transform(data.filter(F.col(split) == 1))
     scores = pred.agg(F.avg(F.pow(F.col("_y") - F.col("prediction"), 2)).alias("mse"), F.count("*").alias("n_test"))
     return pred, scores
-
-
-def multi_output_probe(df: DataFrame, arr: str, ys: str, key: str, split: str = "split",
-                       max_iter: int = 1000) -> DataFrame:
-    """M4: one logistic probe per output position (long format), then the
-    predicted array is compared as a whole (A9 exact match).  Also reports
-    the share of samples with tied maxima (T9) and whether every fit converged."""
-    n_pos = df.select(F.max(F.size(ys))).first()[0]
-    stats = _vector_stats(df.filter(F.col(split) == 0), arr)
-
-    def fit(p):
-        d = df.withColumn("_yp", F.element_at(ys, p + 1).cast("double"))
-        pr, facts = fit_logistic(d.select(key, split, arr, "_yp"), arr, "_yp", split, max_iter, stats)
-        return pr.select(key, F.lit(p).alias("pos"), "y", "yhat"), facts["converged"]
-    fits = at_once(fit, range(n_pos))
-    preds = reduce(DataFrame.unionByName, [pr for pr, _ in fits])
-    per = preds.groupBy(key).agg(F.min((F.col("y") == F.col("yhat")).cast("int")).alias("_all"),
-                                 F.sum("y").alias("_ones"))
-    return per.agg((F.lit(100.0) * F.avg("_all")).alias("accuracy"),
-                   F.avg((F.col("_ones") > 1).cast("double")).alias("tie_share"),
-                   F.count("*").alias("n_test"), F.lit(all(c for _, c in fits)).alias("converged"))
-
-
-def run_probes(specs: Iterable[tuple[str, int]], data_for, done: DataFrame | None = None,
-               spark=None) -> DataFrame:
-    """M5: run every (key, layer) spec not already in ``done`` (J1); the
-    result is the long table ``(key, layer, metric, value)`` with accuracy, rows
-    of the test half, the facts of ``fit_logistic`` and the confusion matrix
-    (``confusion_actual_predicted``).
-    Only these few numbers per spec come back to the driver."""
-    specs = list(specs)
-    if done is not None and specs:
-        spark = done.sparkSession
-        todo = spark.createDataFrame(specs, "key string, layer int")
-        specs = [tuple(r) for r in pending(todo, done.select("key", "layer").distinct(), ["key", "layer"]).collect()]
-    stats = {}
-    for key, layer in specs:
-        if layer not in stats:       # scaling statistics depend on the layer only
-            df, arr, _ = data_for(key, layer)
-            spark = df.sparkSession
-            stats[layer] = _vector_stats(df.filter(F.col("split") == 0), arr)
-
-    def fit(spec):
-        df, arr, y = data_for(*spec)
-        pred, facts = fit_logistic(df, arr, y, stats=stats[spec[1]])
-        accuracy, n, cells = outcome(pred)
-        found = {"accuracy": accuracy, "n_test": n, **facts,
-                 **{f"confusion_{int(a)}_{int(b)}": cells.get((a, b), 0) for a in (0.0, 1.0) for b in (0.0, 1.0)}}
-        return [(spec[0], int(spec[1]), metric, float(value)) for metric, value in found.items()]
-    rows = [r for found in at_once(fit, specs) for r in found]
-    return spark.createDataFrame(rows, "key string, layer int, metric string, value double")

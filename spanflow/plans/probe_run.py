@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_split
-from ..operators import probes as P
 from ..operators.kernel import quarantine
+from ..operators.solver import logistic_probes
 from ..operators.structure import DOC_FLAGS, code_flags
 from ..operators.tokens import token_table
 from ..operators.vectors import hash_ngram_vectors
@@ -41,15 +41,9 @@ def run_probe(spark: SparkSession, spec: dict) -> tuple[DataFrame, int]:
     toks = token_table(ok.select("doc_id", F.col("code").alias("text")), lang="java", with_label=True)
     flags = code_flags(toks).withColumn("split", hash_split("doc_id"))
     vecs = hash_ngram_vectors(toks, ["doc_id"], dims=spec["dims"], layers=spec["layers"])
-    data = vecs.join(flags, "doc_id").persist()
-    counts = flags.filter(F.col("split") == 0).agg(*[F.count_distinct(f).alias(f) for f in DOC_FLAGS]).first()
-    keys = [f for f in DOC_FLAGS if counts[f] > 1]
-    specs = [(k, layer) for k in keys for layer in range(1, spec["layers"] + 1)]
-
-    def data_for(key, layer):
-        return data.filter(F.col("layer") == layer).withColumn("y", F.col(key).cast("int")), "vec", "y"
-    res = P.run_probes(specs, data_for, spark=spark)
-    data.unpersist()
+    samples = vecs.join(flags, "doc_id").select(
+        "layer", "split", F.col("vec").alias("x"), F.array(*[F.col(f).cast("int") for f in DOC_FLAGS]).alias("ys"))
+    res = logistic_probes(samples, list(DOC_FLAGS))
     if spec["out"]:
         write_results(res, spec["out"])
     return res, n_skipped

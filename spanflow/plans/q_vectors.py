@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import hash_split, sql_u32
 from ..operators import metrics as M
 from ..operators import probes as P
+from ..operators import solver as S
 from ..operators.align import align_spans
 from ..operators.generate import Config, gen_numeric
 from ..operators.kernel import drop_constant_targets, spread
@@ -152,7 +153,7 @@ def standardize(spark, sf):
     return z.select("p_partkey", r6(F.col("p_size_z")).alias("p_size_z"), r6(F.col("p_retailprice_z")).alias("p_retailprice_z"))
 
 
-# --- probes (Spark ML) ----------------------------------------------------------
+# --- probes ----------------------------------------------------------
 # The SQL twins hold what no solver decides: rows of each half, row sums of the
 # confusion matrices, and that fits converged to a loss no constant has.
 
@@ -177,14 +178,11 @@ SELECT 'label=' || class AS key, 0::INTEGER AS layer, count(*) FILTER (split = 0
 FROM e, k GROUP BY class""")
 def probe_logistic(spark, sf):
     """M1 per target class of the embeddings (one-vs-rest), one layer."""
-    e = T(spark, sf, "embeddings").withColumn("split", hash_split("vec_id")).persist()
-    classes = [r[0] for r in e.select("label").distinct().orderBy("label").collect()]
-
-    def data_for(key, layer):
-        return e.withColumn("y", (F.concat(F.lit("label="), F.col("label")) == key).cast("int")), "embedding", "y"
-    res = P.run_probes([(f"label={c}", 0) for c in classes], data_for, spark=spark)
-    e.unpersist()
-    return _wide(res)
+    e = T(spark, sf, "embeddings").withColumn("split", hash_split("vec_id"))
+    classes = [r[0] for r in e.select("label").distinct().orderBy("label").collect()]      # one row a class
+    samples = e.select(F.lit(0).alias("layer"), "split", F.col("embedding").alias("x"),
+                       F.array(*[(F.col("label") == c).cast("int") for c in classes]).alias("ys"))
+    return _wide(S.logistic_probes(samples, [f"label={c}" for c in classes]))
 
 
 def _order_samples(spark, sf):
@@ -232,12 +230,12 @@ def probe_multi(spark, sf):
     """M4: list maximum, one logistic probe per position; exact matches are more
     than the share of the commonest label."""
     g = gen_numeric(_order_samples(spark, sf), MAXIMUM).withColumn("split", hash_split("sample_id"))
-    g = g.withColumn("x", F.transform("inps", lambda t: t.cast("double"))).persist()
-    test = g.filter(F.col("split") == 1)
-    majority = test.groupBy("y_vec").agg(F.count("*").alias("n")).agg((F.max("n") * 100.0 / F.sum("n")).alias("m")).first()["m"]
-    r = P.multi_output_probe(g, "x", "y_vec", "sample_id")
+    samples = g.select(F.lit(0).alias("layer"), "split", F.transform("inps", lambda t: t.cast("double")).alias("x"), F.col("y_vec").alias("ys"))
+    commonest = g.filter(F.col("split") == 1).groupBy("y_vec").agg(F.count("*").alias("n")) \
+        .agg((F.max("n") * 100.0 / F.sum("n")).alias("majority")).withColumn("layer", F.lit(0))
+    r = S.exact_match_probe(samples).join(commonest, "layer")
     return r.select(F.lit(MAXIMUM.name).alias("config_name"), r6(F.col("tie_share")).alias("tie_share"), "n_test", "converged",
-                    (F.col("accuracy") > majority).alias("above_majority"))
+                    (F.col("accuracy") > F.col("majority")).alias("above_majority"))
 
 
 def flag_probes(spark, sf):
@@ -245,18 +243,9 @@ def flag_probes(spark, sf):
     targets are skipped (P7); results in long format."""
     from .q_structure import doc_flag_table
     flags = doc_flag_table(spark, sf).withColumn("split", hash_split("doc_id"))
-    vecs = doc_vectors(spark, sf)
-    # the probes read the same input many times: keep it (recomputable from lineage on executor loss)
-    data = vecs.join(flags, "doc_id").persist()
-    counts = data.filter((F.col("split") == 0) & (F.col("layer") == 1)).agg(*[F.count_distinct(f).alias(f) for f in PROSE_FLAGS]).first()
-    keys = [f for f in PROSE_FLAGS if counts[f] > 1]
-    specs = [(k, layer) for k in keys for layer in range(1, LAYERS + 1)]
-
-    def data_for(key, layer):
-        return data.filter(F.col("layer") == layer).withColumn("y", F.col(key).cast("int")), "vec", "y"
-    res = P.run_probes(specs, data_for, spark=spark)
-    data.unpersist()
-    return res
+    samples = doc_vectors(spark, sf).join(flags, "doc_id").select(
+        "layer", "split", F.col("vec").alias("x"), F.array(*[F.col(f).cast("int") for f in PROSE_FLAGS]).alias("ys"))
+    return S.logistic_probes(samples, list(PROSE_FLAGS))
 
 
 _flag_rows = " UNION ALL ".join(f"SELECT '{f}' AS key, {_split_sql('doc_id')} AS split, {f} AS flag FROM ({doc_flags_sql})"
