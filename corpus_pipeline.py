@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanflow.llm import decontaminate, jaccard_join, line_dedup, packing, quality
-from spanflow.llm.common import stored, table
+from spanflow.llm.common import quoted, stored, table
 
 #: The packing and the texts before it are outside what SQL expresses (token
 #: ids): tests hold every stage against brute force instead.
@@ -35,7 +35,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     one of 8 words or more."""
     rows = line_dedup.dedup_lines(docs, single=line_dedup.SINGLE)
     n = F.length("text").cast("bigint")
-    return rows.select(*[n.alias(c) if c == "n_chars" else F.col(c) for c in rows.columns])
+    return rows.select(*[n.alias(c) if c == "n_chars" else quoted(c) for c in rows.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
