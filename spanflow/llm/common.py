@@ -64,12 +64,11 @@ def annotate(df: DataFrame, inputs: list[Column], fields: list[tuple[str, str]],
     """
     names = {n.lower() for n, _ in fields}
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in names]
-    taken, given = kept + [n for n, _ in fields], []
-    for i in range(len(inputs)):
-        given.append(fresh(f"in{i}", taken + given))
-    src = df.select(*[quoted(c) for c in kept], *[c.alias(n) for c, n in zip(inputs, given)])
+    # own names within the map: those of columns may hold dots, or clash
+    given = [f"in{i}" for i in range(len(inputs))]
+    src = df.select(*[quoted(c).alias(f"own{i}") for i, c in enumerate(kept)], *[c.alias(n) for c, n in zip(inputs, given)])
     made = T.StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t in fields))
-    schema = T.StructType(src.schema.fields[:len(kept)] + made.fields)
+    schema = T.StructType(src.schema.fields[:len(kept)] + [T.StructField(f"made{i}", f.dataType) for i, f in enumerate(made.fields)])
     from pyspark.sql.pandas.types import to_arrow_type
     types = [to_arrow_type(f.dataType) for f in made.fields]
 
@@ -81,14 +80,14 @@ def annotate(df: DataFrame, inputs: list[Column], fields: list[tuple[str, str]],
                 c = b.column(b.schema.get_field_index(n))
                 cols.append((c.cast(pa.binary()) if pa.types.is_string(c.type) else c).to_pylist())
             out = work(cols)
-            own = [b.column(b.schema.get_field_index(n)) for n in kept]
+            own = [b.column(i) for i in range(len(kept))]
             if explode:
                 rows = pa.array(out[0], pa.int64())
                 own, out = [c.take(rows) for c in own], out[1:]
             own += [pa.array(c, t) for c, t in zip(out, types)]
             yield pa.RecordBatch.from_arrays(own, names=[f.name for f in schema.fields])
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(run, schema).toDF(*kept, *[n for n, _ in fields])
 
 
 def shared_path(spark: SparkSession, name: str) -> str:

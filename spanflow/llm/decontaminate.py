@@ -169,7 +169,10 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", **ho
     word of each hit run (separators around a run stay)."""
     import re
     word = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-    rows = mark(docs, benchmark, text, **how)
+    taken = {n for n, _ in FIELDS}
+    renamed = {c: f"own_{i}_{c}" for i, c in enumerate(docs.columns) if c.lower() in taken}
+    body = renamed.get(text, text)
+    rows = mark(docs.withColumnsRenamed(renamed), benchmark, body, **how)
 
     def make():
         def work(cols):
@@ -186,8 +189,8 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", **ho
                 out.append(b"".join([*parts, t[at:]]))
             return [[x.decode() if x is not None else None for x in out]]
         return work
-    done = annotate(rows, [quoted(text), F.col("hit_runs")], [(text, "string")], make)
-    return done.select(*[quoted(c) for c in docs.columns if c.lower() not in {n for n, _ in FIELDS} or c == text])
+    done = annotate(rows, [quoted(body), F.col("hit_runs")], [(body, "string")], make)
+    return done.select(*[quoted(renamed.get(c, c)).alias(c) for c in docs.columns])
 
 
 def sha256_of(items: list[str]) -> str:
