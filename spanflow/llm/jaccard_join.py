@@ -214,6 +214,17 @@ def _first(id_: str, doc: str):
     return F.min(F.struct(F.col(id_).isNull().alias("no_id"), F.col(id_).alias("id"), F.col(doc).alias("doc"))).alias("first")
 
 
+def _parities():
+    """Signatures of each parity, beside what is needed of them."""
+    odd = F.col("sig").bitwiseAND(F.lit(1).cast("bigint"))
+    return F.sum(1 - odd).alias("even"), F.sum(odd).alias("odd"), F.first("needs").alias("needs")
+
+
+def _enough(rows: DataFrame) -> DataFrame:
+    return rows.where(((F.col("needs")[0] > 0) & (F.col("even") >= F.col("needs")[0]))
+                      | ((F.col("needs")[1] > 0) & (F.col("odd") >= F.col("needs")[1])))
+
+
 def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE,
           percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, representatives, links): doc key, id, n_shingles and set_key of
@@ -233,9 +244,10 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int =
     shared = postings.groupBy("sig").agg(F.count("*").alias("held")).where(F.col("held") > 1)
     contested = stored(postings.join(shared, "sig").join(reps.select("rid", "n", "needs"), "rid"), "contested")
 
+    # a document that shares fewer signatures than with a similar one is linked with nothing
+    votes = _enough(contested.groupBy("rid").agg(F.sum("held").alias("votes"), *_parities()))
     # groups: the centre is the document whose signatures are held by the most
-    votes = contested.groupBy("rid").agg(F.sum("held").alias("votes"))
-    voted = stored(contested.join(votes, "rid").select("sig", "rid", "n", "votes"), "voted")
+    voted = stored(contested.join(votes.select("rid", "votes"), "rid").select("sig", "rid", "n", "votes"), "voted")
     top = voted.groupBy("sig").agg(F.max(F.struct("votes", "rid")).alias("top"))
     home = (voted.join(top, "sig").groupBy("rid").agg(F.max("top").alias("top"), F.first("n").alias("n"))
             .select("rid", "n", F.col("top.rid").alias("home")))
@@ -263,10 +275,7 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int =
     asked = held.join(matrix.withColumnRenamed("block", "g"), "sig").where(
         (F.col("g") < F.col("block")) & ((F.col("s0") != F.col("s1")) | (F.col("s0") != F.col("star")))
         & ((F.col("home") != F.col("g_home")) | (F.abs(F.col("band") - F.col("g_band")) <= 1)))
-    odd = F.col("sig").bitwiseAND(F.lit(1).cast("bigint"))
-    met = (asked.groupBy("rid", "g").agg(F.sum(1 - odd).alias("even"), F.sum(odd).alias("odd"), F.first("needs").alias("needs"))
-           .where(((F.col("needs")[0] > 0) & (F.col("even") >= F.col("needs")[0]))
-                  | ((F.col("needs")[1] > 0) & (F.col("odd") >= F.col("needs")[1]))).select("rid", F.col("g").alias("block")))
+    met = _enough(asked.groupBy("rid", "g").agg(*_parities())).select("rid", F.col("g").alias("block"))
     met = stored(met.join(members.select("rid", "n"), "rid"), "met")
     parts = met.groupBy("block").agg((F.floor(F.sum("n") / (4 * BLOCK_TOKENS)) + 1).alias("parts"))
     met = met.join(parts, "block").select("block", "rid", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int").alias("part"))
