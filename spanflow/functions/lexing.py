@@ -17,11 +17,12 @@ PROSE_PATTERN = r"([\p{L}\p{M}\p{N}_]+|[ \t\n\r\f]+|[^\p{L}\p{M}\p{N}_ \t\n\r\f]
 # Sub-word pieces of at most 4 characters: the second tokenization for J2.
 PIECE_PATTERN = r"([\p{L}\p{M}\p{N}_]{1,4}|[ \t\n\r\f]+|[^\p{L}\p{M}\p{N}_ \t\n\r\f])"
 # Java source (loops over literals are possessive: a long literal must not use up
-# the regex stack): comments, string and char literals, numbers, identifiers,
+# the regex stack): comments, text blocks, string and char literals, numbers, identifiers,
 # blanks, multi-character operators, then any single character.
 JAVA_PATTERN = (
     r"(/\*[\s\S]*?\*/"
     r"|//[^\n]*"
+    r'|"{3}[^"\\]*+(?:(?:\\[\s\S]|"(?!""))[^"\\]*+)*+"{3}'
     r'|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"'
     r"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"
     r"|0[xX][0-9a-fA-F_]+[lL]?|0[bB][01_]+[lL]?"

@@ -40,6 +40,9 @@ PARTS = [
     Part('new B<C>().d("\\"if");', "HAS_INVOKE", "hasFunctionCalls", "string_literal"),
     Part("Runnable r = new Runnable() { public void run() { if (z) { go(); } } };", "HAS_IF HAS_INVOKE",
          "hasIfStatement hasFunctionCalls", "void_type"),
+    Part('String t = """\nif (x) { foo(); } "" \\""" while (y)\n""";', "", "", "string_literal"),
+    Part("do if (a) i = 1; while (b);", "HAS_IF", "hasIfStatement", "decimal_integer_literal"),
+    Part("class L { void inner() { h(); } int k; } for (;;) { }", "HAS_INVOKE HAS_FOR", "hasFunctionCalls hasForLoop", "void_type"),
 ]
 # class, method, code before and after its parts, whether it throws
 METHODS = [
@@ -47,10 +50,11 @@ METHODS = [
                 "  Runnable f = new Runnable() { public void run() { } };\n  A() { }\n  @Test(timeout=5) public void m0() {\n", "}\n", False),
     ("A", "m1", "  List<String> m1(int a) throws E {\n", "}\n", True),
     ("A", "m2", "  abstract boolean m2(int a);\n}\n", None, False),
-    ("D", "m3", "class D {\n  D() { }\n  int m3() {\n", "}\n}\n", False),
+    ("D", "m3", "class D {\n  D() { }\n  int m3() {\n", "}\n", False),
+    ("P", "m4", "record P(int x, List<A> y) {\n  P { }\n  int m4() throws E {\n", "}\n}\n}\n", True),
 ]
 BASE_LABELS = "string_literal string_literal void_type void_type decimal_integer_literal boolean_type"
-DIVISORS = (2, 3, 4, 5, 6, 7, 8, 9, 10, 11)
+DIVISORS = (2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14)
 LABELS = sorted({x for p in PARTS for x in p.labels.split()} | set(BASE_LABELS.split()))
 
 
