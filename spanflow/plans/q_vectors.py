@@ -118,11 +118,13 @@ def balanced_weights(spark, sf):
     return w.select("quality", "n_c", r6(F.col("weight")).alias("weight"))
 
 
-@query("nonconstant_targets", """
-SELECT source FROM labels JOIN documents USING (doc_id) GROUP BY source HAVING count(DISTINCT quality) > 1""")
+@query("nonconstant_targets", f"""
+SELECT source FROM (SELECT *, {_split_sql('doc_id')} AS split FROM labels JOIN documents USING (doc_id))
+GROUP BY source HAVING count(DISTINCT quality) FILTER (split = 0) > 1""")
 def nonconstant_targets(spark, sf):
     d = T(spark, sf, "labels").join(T(spark, sf, "documents").select("doc_id", "source"), "doc_id")
-    return drop_constant_targets(d, ["source"], "quality", split_col=None).select("source").distinct()
+    d = d.withColumn("split", hash_split("doc_id"))
+    return drop_constant_targets(d, ["source"], "quality", split_col="split").select("source").distinct()
 
 
 @query("mse_by_group", """
