@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import fresh, quoted, text_key
 
 RUN = 2
-#: Words of a line that the pipeline takes for a run of its own.
+#: Words of a line that the query and the pipeline take for a run of its own.
 SINGLE = 8
 _WORD = r"[^\x20\x09-\x0D]"
 

@@ -100,14 +100,16 @@ w AS (SELECT doc_id, pos AS p0, lead(pos) OVER o AS p1, l AS l0, lead(l) OVER o
       WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
 later AS (SELECT doc_id, p0, p1 FROM (SELECT *, row_number() OVER (PARTITION BY l0, l1 ORDER BY doc_id, p0) AS rn
           FROM w WHERE p1 IS NOT NULL) WHERE rn > 1),
-gone AS (SELECT doc_id, p0 AS pos FROM later UNION SELECT doc_id, p1 FROM later),
+alone AS (SELECT doc_id, pos FROM (SELECT *, row_number() OVER (PARTITION BY l ORDER BY doc_id, pos) AS rn
+          FROM c WHERE len(regexp_extract_all(l, {BLANK_SQL})) >= {line_dedup.SINGLE}) WHERE rn > 1),
+gone AS (SELECT doc_id, p0 AS pos FROM later UNION SELECT doc_id, p1 FROM later UNION SELECT doc_id, pos FROM alone),
 k AS (SELECT doc_id, count(*) AS n_lines, count(gone.pos) AS n_removed,
         coalesce(string_agg(l, chr(10) ORDER BY ln.pos) FILTER (WHERE gone.pos IS NULL), '') AS t
       FROM ln LEFT JOIN gone USING (doc_id, pos) GROUP BY 1)
 SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(t) AS kept_sha256
 FROM documents LEFT JOIN k USING (doc_id)""")
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), counts=("n_lines", "n_removed"))
+    rows = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), counts=("n_lines", "n_removed"), single=line_dedup.SINGLE)
     return rows.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
