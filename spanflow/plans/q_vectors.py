@@ -9,8 +9,9 @@ from ..operators import metrics as M
 from ..operators import probes as P
 from ..operators import solver as S
 from ..operators.align import align_spans
-from ..operators.generate import Config, gen_numeric
+from ..operators.generate import Config, gen_numeric, generate
 from ..operators.kernel import drop_constant_targets, spread
+from ..operators.numeric import numeric_probes
 from ..operators.tokens import by_doc, token_table
 from ..operators.vectors import hash_text_vectors, piece_vectors, pool, token_piece_vectors
 from .common import PIECE_PATTERN, T, r6, sql_signed_log, sql_str, sql_tokens
@@ -267,3 +268,42 @@ def probe_summary(spark, sf):
 def probe_scores(spark, sf):
     """The whole result table: accuracies and confusion matrices."""
     return flag_probes(spark, sf).select("key", "layer", "metric", r6(F.col("value")).alias("value"))
+
+
+# --- numeric probing, end to end ---------------------------------------
+NUMERIC = [Config(0.0, 100000.0, 0, 2, "ints", "addition"), Config(0.0, 100000.0, 0, 1, "negatives", "decoding"),
+           Config(0.0, 100000.0, 0, 3, "ints", "list_maximum")]
+NUM_DIMS = 4
+
+
+def _mean_columns(text: str, layer: int, width: int, first: int = 1) -> str:
+    """DuckDB: mean of the vectors of a token's pieces, as columns x1.."""
+    ps = f"regexp_extract_all({text}, {sql_str(PIECE_PATTERN)}, 1)"
+    at = lambda d: f"(('0x' || substr(md5('{layer}:' || p), {1 + 2 * d}, 2))::INTEGER - 128)"
+    return ", ".join(f"list_avg(list_transform({ps}, lambda p: {at(d)}))::DOUBLE AS x{first + d}" for d in range(width))
+
+
+def _numeric_sql(cfg, layer):
+    nums, _ = sql_values(cfg, cfg.m)
+    rows = f"SELECT {_split_sql('sample_id')} AS split, {nums} AS nums FROM (SELECT o_orderkey AS sample_id FROM orders)"
+    # a sign is a token of its own, and the same in every sample
+    cells = ", ".join(_mean_columns(f"abs(nums[{i + 1}])::VARCHAR", layer, NUM_DIMS, 1 + i * NUM_DIMS) for i in range(cfg.m))
+    tokens = cfg.m * (2 if cfg.type == "negatives" else 1)
+    head = f"SELECT {sql_str(cfg.name)} AS config_name, {layer}::INTEGER AS layer, {tokens * NUM_DIMS}::BIGINT AS inputs"
+    if cfg.task == "list_maximum":
+        return f"{head}, count(*) AS n_test, NULL::DOUBLE AS mse, true AS converged FROM ({rows}) WHERE split = 1"
+    y = sql_signed_log("list_sum(nums)")
+    fitted = _least_squares_sql(f"SELECT split, {cells}, {y} AS y FROM ({rows})", cfg.m * NUM_DIMS)
+    return f"{head}, n_test, round(mse, 6) AS mse, NULL::BOOLEAN AS converged FROM ({fitted})"
+
+
+@query("numeric_probe", " UNION ALL ".join(_numeric_sql(c, k) for c in NUMERIC for k in (0, 1)))
+def numeric_probe(spark, sf):
+    """M6 for numbers: samples, tokens, aligned means, flattened inputs, probes; the squared
+    errors are those of least squares in SQL; of the list maxima the twin holds the rows, the width and that the fits converged."""
+    res = numeric_probes(generate(_order_samples(spark, sf), NUMERIC), tasks=[c.task for c in NUMERIC], layers=2, dims=NUM_DIMS, steps=8)
+    value = lambda m: F.max(F.when(F.col("metric") == m, F.col("value")))
+    wide = res.groupBy(F.col("key").alias("config_name"), "layer").agg(
+        value("inputs").cast("long").alias("inputs"), value("n_test").cast("long").alias("n_test"), r6(value("mse")).alias("mse"),
+        (value("converged") == 1).alias("converged"))
+    return wide

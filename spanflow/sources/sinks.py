@@ -54,6 +54,12 @@ def write_results(df: DataFrame, path: str) -> None:
     df.write.mode("append").partitionBy("key").parquet(path)
 
 
+def stored_results(spark: SparkSession, path: str) -> DataFrame | None:
+    """What :func:`write_results` has stored at ``path``, or None."""
+    old = _existing(spark, path)
+    return None if old is None else old.select(F.col("key").cast("string").alias("key"), "layer", "metric", "value")
+
+
 def prepared(df: DataFrame, path: str, keys: list[str]) -> DataFrame:
     """K4: materialize prepared data once per key and reuse it afterwards.
     Keys already stored are not recomputed (anti join), new ones are appended;
