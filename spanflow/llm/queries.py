@@ -162,7 +162,13 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "held_out", "lang_pred", "score")
 
 
-@query()
+@query("""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS s FROM pages),
+k AS (SELECT *, max(page_id) OVER (PARTITION BY s, n) AS keeper FROM p)
+SELECT page_id, n AS payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + ((('0x' || substr(s, 1 + 10 * (i // 8), 10))::BIGINT >> (35 - 5 * (i % 8))) & 31)::BIGINT, 1)), '') AS payload_digest,
+       CASE WHEN page_id IS NOT DISTINCT FROM keeper THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM keeper THEN keeper END AS refers_to, true AS intact FROM k""")
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = warc.archived(table(spark, sf_dir, "pages"))
     return rows.select(F.col("page").alias("page_id"), F.col("bytes").alias("payload_bytes"),

@@ -103,11 +103,11 @@ def test_payloads_that_begin_like_a_record(spark, tmp_path):
     record = "WARC/1.1\r\nWARC-Type: response\r\nX-Page-ID: 99\r\n\r\n<html>"
     texts = [record, "\r\n" + record, "\r\n\r\n" + record, "WARC/1.1", "\r\nWARC/1.1", "x" * 50 + record, "x" * 50 + "\r\n" + record,
              "x" * 49 + "\r" + "\n" + record, "x" * 48 + "\r\n\r\n" + record, record * 3, "\n" + record, "WARC/1.1\r\n" * 20]
-    for t in texts:
-        for chunk in (1, 3, 7, 50, 1 << 16):
-            parts = list(warc.cuts(t, chunk))
-            assert "".join(parts) == t and max(map(len, parts)) <= chunk
-            assert not any(warc._BOUNDARY in (warc._BREAK + x + warc._BREAK + "WARC/1.1\r\n")[:-4] for x in parts)
+    whole = spark.createDataFrame([(t,) for t in texts + ["", "\U0001F600" * 9]], "t string")
+    for chunk in (1, 3, 7, 50, 1 << 16):
+        for r in whole.select("t", warc.chunks(F.col("t"), chunk).alias("parts")).collect():
+            assert "".join(r.parts) == r.t and max(map(len, r.parts)) <= chunk and len(r.parts) > 0
+            assert not any(warc._BOUNDARY in (warc._BREAK + x + warc._BREAK + "WARC/1.1\r\n")[:-4] for x in r.parts)
     d = spark.createDataFrame([(i, "http://a.b/", t) for i, t in enumerate(texts)], "page_id long, url string, html string").repartition(3)
     want = Counter((i, len(t), base64.b32encode(hashlib.sha1(t.encode()).digest()).decode(), "response", True) for i, t in enumerate(texts))
     for chunk in (1 << 16, 50):
@@ -121,6 +121,23 @@ def test_payloads_that_begin_like_a_record(spark, tmp_path):
     assert found == {str(i): t for i, t in enumerate(texts)}
 
 
+def test_ids_that_look_like_headers(spark, tmp_path):
+    ids = ["", "a\r\nWARC-Type: revisit", "50% + 50%25", "\u00e9 \x7f", "\U0001F600\n", None]
+    d = spark.createDataFrame([(i, f"http://a.b/\n{k}", "same" if k < 3 else str(k)) for k, i in enumerate(ids)], "page_id string, url string, html string")
+    got = {r.page: r for r in warc.archived(d.repartition(2)).collect()}
+    assert set(got) == set(ids) and all(r.intact for r in got.values())
+    keeper = max(ids[:3])
+    assert {i: (r.type, r.refers_to) for i, r in got.items()} == {
+        i: ("revisit", keeper) if k < 3 and i != keeper else ("response", None) for k, i in enumerate(ids)}
+    path = str(tmp_path / "warc")
+    warc.write(d, path, chunk=2)
+    assert {r.page for r in warc.payload_chunks(spark, path).collect()} == set(ids)
+    broken = d.where("page_id = ''").withColumn("html", F.expr("cast(x'61ff62' as string)"))
+    want = "a\ufffdb".encode()
+    r, = warc.archived(broken).collect()
+    assert (r.bytes, r.digest, r.intact) == (len(want), base64.b32encode(hashlib.sha1(want).digest()).decode(), True)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as p
     sf = "/root/testdata/sf0.001"
