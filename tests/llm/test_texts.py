@@ -279,3 +279,48 @@ def test_language_id(spark, docs, no_docs):
     assert {r.lang_pred for r in langid.identify(two.union(two.withColumn("doc_id", F.lit(4)))).collect()} == {"xx"}
     nothing = langid.identify(docs.withColumn("lang", F.lit(None).cast("string")))
     assert {r.lang_pred for r in nothing.collect()} == {"und"}
+
+
+def test_languages_whose_letters_only_differ(spark):
+    """Two alphabets with the same words, letter for letter, with letters 21 apart in code point among them."""
+    import random
+    rng = random.Random(4)
+    pairs = [("\u0430\u0431\u0432\u0433\u0434", "\u0445\u0446\u0447\u0448\u0449"), ("\u00e1\u00e4\u00fco", "\u00f6\u00f9\u00e7a"),
+             ("".join(chr(0x4e00 + 21 * k) for k in range(8)), "".join(chr(0xac00 + 21 * k) for k in range(8)))]
+    rows = []
+    for p, (a, b) in enumerate(pairs):
+        for _ in range(120):
+            words = [[rng.randrange(len(a)) for _ in range(rng.randint(2, 6))] for _ in range(12)]
+            for lang, letters in ((f"{p}a", a), (f"{p}b", b)):
+                rows.append((len(rows), " ".join("".join(letters[k] for k in w) for w in words).title(), lang))
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    got = langid.identify(d).collect()
+    wrong = Counter(r.lang for r in got if r.lang != r.lang_pred)
+    assert not wrong
+
+
+def test_language_id_against_brute_force(spark):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").limit(60)
+    rows = d.collect()
+
+    def bundle(t):
+        s, v = "".join(c.lower()[0] if c.isalpha() else " " for c in t or ""), np.zeros(langid.DIM, np.int64)
+        for w in s.split():
+            w = f" {w} "
+            for i in range(len(w) - 2):
+                x = np.ones(langid.DIM, np.int64)
+                for j, c in enumerate(w[i:i + 3]):
+                    x *= np.roll(langid.letter_vector(0 if c == " " else ord(c)), 2 - j)
+                v += x
+        return v
+    import zlib
+    protos = {}
+    for r in rows:
+        if r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 5:
+            protos[r.lang] = protos.get(r.lang, 0) + bundle(r.text)
+    names = sorted(protos)
+    for r in langid.identify(d).collect():
+        v = bundle(r.text)
+        cos = [v @ protos[x] / max(np.linalg.norm(v) * np.linalg.norm(protos[x]), 1e-12) for x in names]
+        best = int(np.argmax(cos))
+        assert r.lang_pred == (names[best] if v.any() else "und") and abs(r.score - max(0, cos[best])) < 1e-9
