@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from ..functions.lexing import HTML_COMMENT, is_blank, pieces, strip_comments as strip
 from ..functions.scalars import span_text as span
-from ..operators.align import align_spans
 from ..operators.kernel import named_tokens as named
-from ..operators.tokens import by_doc, label_tokens, line_offsets as lines, token_table
+from ..operators.rowspans import aligned, lines, tokens
+from ..operators.tokens import label_tokens, token_table
 from .common import PIECE_PATTERN, T, sql_label, sql_str, sql_tokens
 from .registry import query
 
 
 def doc_tokens(spark, sf, with_lines=False, with_label=False):
+    """Tokens with those of a document together, for windows over them."""
     return token_table(T(spark, sf, "documents").select("doc_id", "text"),
                        with_lines=with_lines, with_label=with_label)
 
@@ -25,7 +26,7 @@ def doc_pieces():
 
 @query("token_spans", f"SELECT doc_id, idx, text, char_start, char_end FROM ({sql_tokens()})")
 def token_spans(spark, sf):
-    return doc_tokens(spark, sf).select("doc_id", "idx", "text", "char_start", "char_end")
+    return tokens(T(spark, sf, "documents"), with_lines=False)
 
 
 @query("line_offsets", """
@@ -36,12 +37,12 @@ SELECT doc_id, (i - 1)::INTEGER AS line_no,
 FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i
       FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))""")
 def line_offsets(spark, sf):
-    return lines(T(spark, sf, "documents").select("doc_id", "text"))
+    return lines(T(spark, sf, "documents"))
 
 
 @query("token_labels", f"SELECT doc_id, idx, {sql_label()} AS label FROM ({sql_tokens()})")
 def token_labels(spark, sf):
-    return label_tokens(doc_tokens(spark, sf)).select("doc_id", "idx", "label")
+    return label_tokens(tokens(T(spark, sf, "documents"), with_lines=False)).select("doc_id", "idx", "label")
 
 
 @query("label_histogram", f"SELECT {sql_label()} AS label, count(*) AS n FROM ({sql_tokens()}) GROUP BY 1")
@@ -88,8 +89,5 @@ FROM ab LEFT JOIN bb ON ab.doc_id = bb.doc_id AND ab.bucket = bb.bucket AND ab.s
      AND ab.bucket = greatest(ab.s, bb.s) // 64
 GROUP BY ab.doc_id, ab.idx""")
 def align_tokens(spark, sf):
-    docs = by_doc(T(spark, sf, "documents").select("doc_id", "text"))   # shuffled once, reused by both sides
-    words = token_table(docs, with_lines=False, partitioned=True)
-    parts = token_table(docs, lang="pieces", with_lines=False, partitioned=True)
-    al = align_spans(words, parts, ["doc_id"], "idx", "idx", width=64)
+    al = aligned(T(spark, sf, "documents"))
     return al.select("doc_id", "idx", F.array_join(F.col("piece_ids").cast("array<string>"), ",").alias("piece_ids"))

@@ -8,12 +8,11 @@ from ..functions.hashing import hash_split, sql_u32
 from ..operators import metrics as M
 from ..operators import probes as P
 from ..operators import solver as S
-from ..operators.align import align_spans
 from ..operators.generate import Config, gen_numeric, generate
 from ..operators.kernel import drop_constant_targets, spread
 from ..operators.numeric import numeric_probes
-from ..operators.tokens import by_doc, token_table
-from ..operators.vectors import hash_text_vectors, piece_vectors, pool, token_piece_vectors
+from ..operators.rowspans import aligned
+from ..operators.vectors import hash_text_vectors, pool, token_vectors
 from .common import PIECE_PATTERN, T, r6, sql_signed_log, sql_str, sql_tokens
 from .q_lists import sql_values
 from .q_structure import PROSE_FLAGS, doc_flags_sql
@@ -59,13 +58,8 @@ FROM ab JOIN bb ON ab.doc_id = bb.doc_id AND ab.bucket = bb.bucket AND ab.s < bb
      AND ab.bucket = greatest(ab.s, bb.s) // 64
 GROUP BY ab.doc_id, ab.idx""")
 def token_piece_vectors_q(spark, sf):
-    docs = by_doc(T(spark, sf, "documents").select("doc_id", "text"))   # shuffled once, reused by both sides
-    words = token_table(docs, with_lines=False, partitioned=True)
-    parts = token_table(docs, lang="pieces", with_lines=False, partitioned=True)
-    al = align_spans(words, parts, ["doc_id"], "idx", "idx", width=64)
-    pv = parts.select("doc_id", "idx", piece_vectors(parts).alias("vec"))
-    tv = token_piece_vectors(al, pv, ["doc_id"])
-    flat = F.array_join(F.transform("vecs", lambda v: F.array_join(v.cast("array<string>"), ",")), "|")
+    tv = aligned(T(spark, sf, "documents"), with_texts=True).where(F.size("pieces") > 0)
+    flat = F.array_join(F.transform(token_vectors("pieces"), lambda v: F.array_join(v.cast("array<string>"), ",")), "|")
     return tv.select("doc_id", "idx", flat.alias("vecs"))
 
 
