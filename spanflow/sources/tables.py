@@ -106,6 +106,7 @@ def read_datasets(spark: SparkSession, path: str) -> DataFrame:
         config_name(*[F.col(f"config.{c}") for c in ("min", "max", "n", "m", "type", "task")]).alias("config_name"),
         F.col("config.*"),
         F.col("sample_id").cast("long"),
+        F.col("s.language").alias("language"),
         F.col("s.inps").alias("inps"),
         F.when(outs.startswith("["), F.from_json(outs, "array<int>")).alias("y_vec"),
         outs.try_cast("double").alias("y_num"),

@@ -68,7 +68,7 @@ def test_dataset_json_reader(spark):
     with open(os.path.join(d, "d.jsonl"), "w") as f:
         f.write(json.dumps(line) + "\n")
     rows = read_datasets(spark, d).orderBy("sample_id").collect()
-    assert [r.y_vec for r in rows] == [[0, 1], [1, 1]]
+    assert [r.y_vec for r in rows] == [[0, 1], [1, 1]] and {r.language for r in rows} == {"java"}
     assert rows[0].config_name == "min-0.0-max-10.0-n-2-m-2-type-ints-task-list_maximum"
 
 
