@@ -30,12 +30,15 @@ from ..functions.lexing import is_blank, is_comment, pieces
 from ..functions.statements import walk
 from ..session import checkpoint_dir
 from .dataflow import Policy, statement_edges
+from .kernel import spread
 from .scan import last_before
 
 #: The walk of the reference takes the state before a Java ``if`` once more at its ``else``.
 JAVA_FLOW = Policy(include_base="always")
 #: Accesses of one document that a task scans at a time.
 CHUNK = 100_000
+#: Accesses of a batch that goes back (more only for a longer document).
+OUT_ROWS = 1 << 13
 
 _REGION = "struct<region: int, kind: string, at: int, fork: int, ways: int>"
 _ACCESS = f"pos int, idx int, var string, role string, stmt int, path array<{_REGION}>"
@@ -51,29 +54,55 @@ def code_accesses(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> D
     NULL outside).  A document is one row, split where it is read: no shuffle.  NULL and
     empty texts have no accesses; ``doc`` must tell documents apart, and rows without it are left out."""
     tokens = F.filter(pieces(F.col(text), "java"), lambda p: ~is_blank(p) & ~is_comment(p, "java"))
-    rows = docs.where(F.col(doc).isNotNull()).select(F.col(doc).alias("doc"), tokens.alias("tokens"))
+    rows = spread(docs.where(F.col(doc).isNotNull())).select(F.col(doc).alias("doc"), tokens.alias("tokens"))
     key = rows.schema["doc"].dataType.simpleString()
     schema = StructType.fromDDL(f"doc {key}, {_ACCESS}")
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(batch.num_rows):
-                tok = batch.column(1)[at].as_py()
+            at, cols, last = [], _columns(), batch.num_rows - 1
+            for row, tok in enumerate(batch.column(1).to_pylist()):
                 if tok:
-                    yield pa.RecordBatch.from_pylist(
-                        [{"doc": batch.column(0)[at].as_py(), **a} for a in _accesses(tok)], schema=arrow)
+                    _add(cols, *walk(tok), tok)
+                    at += [row] * (len(cols["idx"]) - len(at))
+                if at and (len(at) >= OUT_ROWS or row == last):
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *_arrays(cols, arrow)], schema=arrow)
+                    at, cols = [], _columns()
     acc = rows.mapInArrow(run, schema).withColumnRenamed("doc", doc)
     return acc.select("*", *_innermost())
 
 
-def _accesses(tok: list[str]) -> Iterator[dict]:
-    events, values = walk(tok)
-    for pos, i, role, stmt, path in events:
-        yield {"pos": pos, "idx": i, "var": tok[i], "role": role, "stmt": stmt,
-               "path": [{"region": r, "kind": k, "at": a, "fork": f, "ways": w[0]} for r, k, a, f, w in path]}
-    for stmt, i in values:
-        yield {"pos": None, "idx": i, "var": tok[i], "role": "value", "stmt": stmt, "path": []}
+def _columns() -> dict[str, list]:
+    return {c: [] for c in ("pos", "idx", "var", "role", "stmt", "regions", "ends")}
+
+
+def _add(cols: dict[str, list], events: list[tuple], values: list[tuple], tok: list[str]) -> None:
+    """The accesses of one document; ``ends`` are those of the paths in ``regions``."""
+    regions = cols["regions"]
+    if events:
+        pos, idx, role, stmt, paths = zip(*events)
+        for c, v in (("pos", pos), ("idx", idx), ("role", role), ("stmt", stmt)):
+            cols[c] += v
+        for path in paths:
+            regions += path
+            cols["ends"].append(len(regions))
+    cols["pos"] += [None] * len(values)
+    cols["idx"] += [i for _, i in values]
+    cols["role"] += ["value"] * len(values)
+    cols["stmt"] += [s for s, _ in values]
+    cols["ends"] += [len(regions)] * len(values)
+    cols["var"] += [tok[i] for i in cols["idx"][len(cols["var"]):]]
+
+
+def _arrays(cols: dict[str, list], arrow: pa.Schema) -> list[pa.Array]:
+    plain = [pa.array(cols[c], arrow.field(c).type) for c in ("pos", "idx", "var", "role", "stmt")]
+    region = arrow.field("path").type.value_type
+    parts = list(zip(*cols["regions"])) or [()] * region.num_fields
+    # the number of ways is that at the end of the walk
+    parts[-1] = [w[0] for w in parts[-1]]
+    structs = pa.StructArray.from_arrays([pa.array(p, f.type) for p, f in zip(parts, region)], fields=list(region))
+    return [*plain, pa.ListArray.from_arrays(pa.array([0, *cols["ends"]], pa.int32()), structs, type=arrow.field("path").type)]
 
 
 def _innermost() -> list[Column]:
@@ -128,9 +157,11 @@ def flow_edges(acc: DataFrame, doc: str = "doc_id", policy: Policy = JAVA_FLOW,
         raise ValueError(f"no such walk: {policy}")
     none = F.array().cast("array<int>")
     is_def, binds = F.col("role") == "def", F.col("role").isin("def", "use")
-    events = _kept(acc.where(F.col("pos").isNotNull()).select(
+    # the walk of the texts, once for events and statements
+    acc = _kept(acc.select(doc, "pos", "idx", "var", "role", "stmt", "path"))
+    events = acc.where(F.col("pos").isNotNull()).select(
         doc, "var", "path", "pos", F.lit(None).cast("int").alias("gate"), F.lit(None).cast("string").alias("kind"), "idx", "role",
-        F.when(is_def, F.array("idx")).otherwise(none).alias("gens"), is_def.alias("kill"), F.when(binds, F.array("idx")).alias("first")))
+        F.when(is_def, F.array("idx")).otherwise(none).alias("gens"), is_def.alias("kill"), F.when(binds, F.array("idx")).alias("first"))
     depth = events.agg(F.max(F.size("path"))).first()[0]
     statements = statement_edges(acc, [doc, "stmt"]).where(F.col("src").isNotNull()).select(doc, "src", "dst")
     if depth is None:

@@ -14,7 +14,7 @@ from typing import NamedTuple
 from pyspark.sql import functions as F
 
 from ..operators.flow import code_accesses, flow_edges
-from .common import T, sql_str
+from .common import keys, sql_str
 from .registry import query
 
 
@@ -52,7 +52,7 @@ PARTS = [
 
 def java_flow_files(spark, sf):
     parts = [F.when(F.col("c_custkey") % p.divisor == 0, p.code + " ").otherwise("") for p in PARTS]
-    return T(spark, sf, "customer").select(F.col("c_custkey").alias("doc_id"), F.concat(F.lit(BEGIN.code + " "), *parts, F.lit(END.code)).alias("text"))
+    return keys(spark, sf, "customer", "c_custkey").select(F.col("c_custkey").alias("doc_id"), F.concat(F.lit(BEGIN.code + " "), *parts, F.lit(END.code)).alias("text"))
 
 
 def _values(rows) -> str:

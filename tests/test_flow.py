@@ -242,3 +242,17 @@ def test_template_edges_are_those_of_the_walk(spark):
     """The edges that the SQL twin states a part, and the number of tokens."""
     for p in q_flow.PARTS:
         assert set(edges_of(spark, p.code)) >= set(p.edges)
+
+
+def test_accesses_come_in_few_batches_from_many_tasks(spark, tmp_path):
+    """A small file of many keys is read in one task; its texts are made and walked in many, a batch for many documents."""
+    from spanflow.operators import flow
+    from spanflow.plans.q_flow import java_flow_files
+    spark.range(1, 400, 1, 1).selectExpr("id AS c_custkey").write.parquet(str(tmp_path / "customer.parquet"))
+    files = java_flow_files(spark, str(tmp_path))
+    assert files.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert len({r[0] for r in files.selectExpr("spark_partition_id()").distinct().collect()}) > 1
+    cols = flow._columns()
+    for code in ("a = b ;", "while ( c ) { d ( ) ; }"):
+        flow._add(cols, *flow.walk(code.split()), code.split())
+    assert len({len(cols[c]) for c in cols if c != "regions"}) == 1 and cols["var"] == ["b", "a", "b", "c", "d"]
