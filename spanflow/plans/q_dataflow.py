@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import dataflow as D
+from ..operators.rowspans import first_occurrences
 from ..operators.scan import group_positions
 from .common import T
-from .q_tokens import doc_tokens
 from .q_lists import list_chunk
 from .registry import query
 
@@ -50,9 +50,7 @@ SELECT doc_id, text, src, idx AS dst FROM (
     "spanflow.plans.common", fromlist=["sql_tokens"]).sql_tokens() + """)
   WHERE regexp_full_match(text, '[\\p{L}\\p{M}_][\\p{L}\\p{M}\\p{N}_]*')) WHERE idx > src""")
 def first_occurrence_edges(spark, sf):
-    tok = doc_tokens(spark, sf)
-    return D.first_occurrence_edges(tok, ["doc_id"], "text", "idx",
-                                    definer=F.col("text").rlike(r"^[\p{L}\p{M}_][\p{L}\p{M}\p{N}_]*$"))
+    return first_occurrences(T(spark, sf, "documents"), definer=r"^[\p{L}\p{M}_][\p{L}\p{M}\p{N}_]*$")
 
 
 LIST_ORDER = ["l_linenumber", "l_partkey", "l_suppkey"]
