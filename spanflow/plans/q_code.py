@@ -12,7 +12,7 @@ from typing import NamedTuple
 from pyspark.sql import functions as F
 
 from ..functions.lexing import strip_comments
-from ..operators.structure import DOC_FLAGS, METHOD_FLAGS, code_flags, method_rows
+from ..operators.structure import DOC_FLAGS, METHOD_FLAGS, code_flags_rows, method_rows
 from ..operators.tokens import label_tokens, token_table
 from .common import T, sql_str
 from .registry import query
@@ -74,14 +74,18 @@ def _if_divides(divisor: int, value, other):
     return F.when(F.col("c_custkey") % divisor == 0, value).otherwise(other)
 
 
-def java_files(spark, sf):
-    """One Java file per customer."""
+def java_files(spark, sf, partitioned=False):
+    """One Java file per customer; ``partitioned``: the keys are dealt out by their hash and sorted before texts are made, so that
+    the files of a key come one after another and no text is shuffled."""
     out = []
     for m, (_, _, begin, end, _) in enumerate(METHODS):
         out.append(F.lit(begin))
         if end is not None:
             out += [_if_divides(d, _filled(p.code), F.lit("")) for mm, d, p in chosen() if mm == m] + [F.lit(end)]
-    return T(spark, sf, "customer").select(F.col("c_custkey").alias("doc_id"), F.concat(*out).alias("text"))
+    d = T(spark, sf, "customer").select("c_custkey")
+    if partitioned:
+        d = d.where("c_custkey IS NOT NULL").repartition(4 * spark.sparkContext.defaultParallelism, "c_custkey").sortWithinPartitions("c_custkey")
+    return d.select(F.col("c_custkey").alias("doc_id"), F.concat(*out).alias("text"))
 
 
 def java_tokens(spark, sf):
@@ -98,7 +102,7 @@ def _raised(flag: str, field: str, method: int | None = None) -> str:
 
 @query("code_flags", "SELECT c_custkey AS doc_id, " + ", ".join(f"({_raised(f, 'doc')}) AS {f}" for f in DOC_FLAGS) + " FROM customer")
 def code_flags_query(spark, sf):
-    return code_flags(java_tokens(spark, sf)).select("doc_id", *DOC_FLAGS)
+    return code_flags_rows(java_files(spark, sf, partitioned=True), partitioned=True).select("doc_id", *DOC_FLAGS)
 
 
 def _method_sql(m: int) -> str:
