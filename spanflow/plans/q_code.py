@@ -12,7 +12,7 @@ from typing import NamedTuple
 from pyspark.sql import functions as F
 
 from ..functions.lexing import strip_comments
-from ..operators.structure import DOC_FLAGS, METHOD_FLAGS, code_flags_rows, method_rows
+from ..operators.structure import DOC_FLAGS, METHOD_FLAGS, code_flags_rows, method_rows_of
 from ..operators.tokens import label_tokens, token_table
 from .common import T, sql_str
 from .registry import query
@@ -113,7 +113,7 @@ def _method_sql(m: int) -> str:
 
 @query("method_flags", " UNION ALL ".join(_method_sql(m) for m in range(len(METHODS))))
 def method_flags_query(spark, sf):
-    return method_rows(java_tokens(spark, sf)).select("doc_id", "class", "method", *METHOD_FLAGS)
+    return method_rows_of(java_files(spark, sf, partitioned=True), partitioned=True).select("doc_id", "class", "method", *METHOD_FLAGS)
 
 
 def _label_count(label: str) -> str:

@@ -40,7 +40,7 @@ def test_walk_of_texts_is_that_of_token_tables(spark, pair):
     assert a == b and len(a) > 100
 
 
-@pytest.mark.parametrize("name", ["code_flags"])
+@pytest.mark.parametrize("name", ["code_flags", "method_flags"])
 def test_no_token_is_a_row(spark, tmp_path, name):
     import __spark_entry__
     spark.createDataFrame([(i,) for i in range(1, 61)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
