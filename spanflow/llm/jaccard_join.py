@@ -233,14 +233,15 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int =
     identity = text_key(quoted(doc_id), quoted(text))
     rows = docs.select(identity.alias("doc"), quoted(doc_id).alias("id"), quoted(text).cast("string").alias("text"))
     marked = shingle_rows(rows, "text", ["doc", "id"], k, percent)
-    marked = stored(marked, "marked")
+    marked = stored(marked.withColumn("row", F.monotonically_increasing_id()), "marked")
+    # a set's representative is a row of ``marked``, which alone holds the signatures
     reps = (marked.where(F.col("set_key").isNotNull()).groupBy("set_key")
-            .agg(F.min_by(F.struct("doc", "signatures", "needs"), "doc").alias("one"), _first("id", "doc"),
-                 F.first("n_shingles").alias("n")))
-    reps = stored(reps.select(F.monotonically_increasing_id().alias("rid"), "set_key", "first", "n",
-                              F.col("one.doc").alias("doc"), F.col("one.signatures").alias("signatures"), F.col("one.needs").alias("needs")), "reps")
+            .agg(F.min(F.struct("doc", "row", "needs")).alias("one"), _first("id", "doc"), F.first("n_shingles").alias("n")))
+    reps = stored(reps.select(F.col("one.row").alias("rid"), "set_key", "first", "n", F.col("one.doc").alias("doc"),
+                              F.col("one.needs").alias("needs")), "reps")
     # each document has a signature once, and only what is shared gets its other columns: few bytes are shuffled
-    postings = reps.select("rid", F.explode("signatures").alias("sig"))
+    signed = marked.where(F.col("set_key").isNotNull()).select(F.col("row").alias("rid"), "signatures")
+    postings = signed.join(reps.select("rid"), "rid").select("rid", F.explode("signatures").alias("sig"))
     shared = postings.groupBy("sig").agg(F.count("*").alias("held")).where(F.col("held") > 1)
     contested = stored(postings.join(shared, "sig").join(reps.select("rid", "n", "needs"), "rid"), "contested")
 
