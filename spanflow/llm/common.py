@@ -52,7 +52,7 @@ Maker = Callable[[], Callable[[list], list]]
 
 
 def annotate(df: DataFrame, inputs: list[Column], fields: list[tuple[str, str]], make: Maker,
-             keep: list[str] | None = None, explode: bool = False) -> DataFrame:
+             keep: list[str] | None = None, explode: bool = False, most: int | None = None) -> DataFrame:
     """Append columns computed by a Python function over Arrow batches.
 
     ``inputs`` are the columns that the function reads (strings are handed over
@@ -60,7 +60,8 @@ def annotate(df: DataFrame, inputs: list[Column], fields: list[tuple[str, str]],
     from a list of input lists to a list of output lists or arrays, one per field.  With
     ``explode`` the function returns the row numbers first, and the kept
     columns are repeated by them.  A kept column whose name is also a field is
-    replaced by the field.
+    replaced by the field.  With ``most`` a batch is handed over in pieces of about so
+    many bytes, a row at least: for functions whose rows do not depend on each other.
     """
     names = {n.lower() for n, _ in fields}
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() not in names]
@@ -74,7 +75,7 @@ def annotate(df: DataFrame, inputs: list[Column], fields: list[tuple[str, str]],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for b in batches:
+        for b in batches if most is None else (p for b in batches for p in pieces(b, most)):
             cols = []
             for n in given:
                 c = b.column(b.schema.get_field_index(n))
@@ -90,6 +91,16 @@ def annotate(df: DataFrame, inputs: list[Column], fields: list[tuple[str, str]],
     return src.mapInArrow(run, schema).toDF(*kept, *[n for n, _ in fields])
 
 
+def pieces(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in halves of halves, until one has ``most`` bytes or one row."""
+    if batch.num_rows < 2 or batch.nbytes <= most:
+        yield batch
+        return
+    half = batch.num_rows // 2
+    yield from pieces(batch.slice(0, half), most)
+    yield from pieces(batch.slice(half), most)
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder that the session names."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

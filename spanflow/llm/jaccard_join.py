@@ -44,6 +44,8 @@ SHINGLE = 3
 PERCENT = 90
 #: Tokens in a block, about: bounds the rows that are opened at once.
 BLOCK_TOKENS = 1 << 16
+#: Bytes of texts or tokens that a task works on at once (a single row may be more).
+SLICE_BYTES = 4 << 20
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -131,7 +133,7 @@ def shingle_rows(docs: DataFrame, text: str, keep: list[str], k: int, percent: i
                     out[3].append(needs)
             return out
         return work
-    return annotate(docs, [quoted(text)], [("n_shingles", "bigint"), ("set_key", "binary"), *last], make, keep)
+    return annotate(docs, [quoted(text)], [("n_shingles", "bigint"), ("set_key", "binary"), *last], make, keep, most=SLICE_BYTES)
 
 
 def _overlap(rows: DataFrame, a: str, b: str, keep: list[str]) -> DataFrame:
@@ -140,17 +142,12 @@ def _overlap(rows: DataFrame, a: str, b: str, keep: list[str]) -> DataFrame:
             return [[len(np.intersect1d(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), True))
                      for x, y in zip(*cols)]]
         return work
-    return annotate(rows, [F.col(a), F.col(b)], [("overlap", "bigint")], make, keep)
+    return annotate(rows, [F.col(a), F.col(b)], [("overlap", "bigint")], make, keep, most=SLICE_BYTES)
 
 
 def _open_blocks(percent: int):
-    """Links between unconnected documents of two blocks (or within one)."""
-    def incidence(sets: list[np.ndarray], common: np.ndarray) -> np.ndarray:
-        m = np.zeros((len(sets), len(common)), np.float32)
-        for i, s in enumerate(sets):
-            m[i, np.searchsorted(common, np.intersect1d(s, common, True))] = 1
-        return m
-
+    """Links between unconnected documents of two blocks (or within one).  Beside the rows
+    of a block, what is held grows with its tokens, not with members times tokens."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         sides = []
         for side in (0, 1):
@@ -167,26 +164,27 @@ def _open_blocks(percent: int):
             return x
 
         (rid_a, star_a, a), (rid_b, star_b, b) = sides
-        union = np.unique(np.concatenate(a))  # the token union of the first block
-        size_a, size_b = np.array([len(s) for s in a]), np.array([len(s) for s in b])
-        bound = np.array([len(np.intersect1d(s, union, True)) for s in b])
-        opened = np.flatnonzero(100 * bound >= percent * size_b)
+        size_a = np.array([len(s) for s in a])
+        # the first block by token: ``owner`` holds the members of each, ``held`` of them from ``first``
+        tokens = np.concatenate(a)
+        order = np.argsort(tokens, kind="stable")
+        owner = np.repeat(np.arange(len(a)), size_a)[order]
+        union, first, held = np.unique(tokens[order], return_index=True, return_counts=True)
         links = []
-        if len(opened):
-            common = np.intersect1d(union, np.unique(np.concatenate([b[j] for j in opened])), True)
-            left = incidence(a, common) if len(a) * len(common) < 1 << 26 else None
-            for at in range(0, len(opened), 64):
-                part = opened[at:at + 64]
-                if left is not None:
-                    inter = (left @ incidence([b[j] for j in part], common).T).astype(np.int64)
-                else:
-                    inter = np.array([[len(np.intersect1d(x, b[j], True)) for j in part] for x in a])
-                total = size_a[:, None] + size_b[part][None, :] - inter
-                for i, j in zip(*np.nonzero(100 * inter >= percent * total)):
-                    x, y = root(int(star_a[i])), root(int(star_b[part[j]]))
-                    if x != y:
-                        parent[x] = y
-                        links.append((int(rid_a[i]), int(rid_b[part[j]])))
+        for j, s in enumerate(b):
+            at = np.minimum(np.searchsorted(union, s), len(union) - 1)
+            at = at[union[at] == s]
+            if 100 * len(at) < percent * len(s):
+                continue
+            # members are opened: one entry for each token that one has in common with the query
+            n = held[at]
+            entry = np.repeat(first[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            inter = np.bincount(owner[entry], minlength=len(a))
+            for i in np.flatnonzero(100 * inter >= percent * (size_a + len(s) - inter)):
+                x, y = root(int(star_a[i])), root(int(star_b[j]))
+                if x != y:
+                    parent[x] = y
+                    links.append((int(rid_a[i]), int(rid_b[j])))
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
     return run
 

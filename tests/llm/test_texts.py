@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanflow.llm import decontaminate, jaccard_join, langid, license, line_dedup, packing, quality, substring_dedup
+from spanflow.llm.common import annotate
 
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 BLANK = re.compile(r"[^\x20\x09-\x0D]+")
@@ -180,6 +181,34 @@ def test_jaccard_components(spark, docs, no_docs, percent):
         assert jaccard_join.components(no_docs).count() == 0
 
 
+def test_opened_blocks_take_memory_by_their_tokens():
+    import tracemalloc
+
+    import pandas as pd
+    rng = np.random.default_rng(3)
+    a = [np.sort(rng.integers(0, 1 << 63, 142, dtype=np.uint64)) for _ in range(400)]
+    every = np.unique(np.concatenate(a))
+    b = [s[3:] for s in a[::2]] + [np.sort(rng.choice(every, 142, False)) for _ in range(200)]
+    sides = [(0, i, s) for i, s in enumerate(a)] + [(1, 1000 + i, s) for i, s in enumerate(b)]
+    pdf = pd.DataFrame([(x, r, r, s.astype("<u8").tobytes()) for x, r, s in sides], columns=["side", "rid", "star", "tokens"])
+    tracemalloc.start()
+    got = jaccard_join._open_blocks(90)(pdf)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert set(zip(got.a, got.b)) == {(2 * i, 1000 + i) for i in range(200)}
+    assert peak < 32 * 8 * len(every)  # members times tokens took 91 MB, four bytes each
+
+
+def test_rows_are_worked_on_in_pieces(spark):
+    def make():
+        return lambda cols: [[len(cols[0])] * len(cols[0])]
+    d = spark.range(0, 64, 1, 1).withColumn("text", F.repeat(F.lit("x"), 100_000))
+    got = annotate(d, [F.col("text")], [("n", "bigint")], make, ["id"], most=1 << 20).collect()
+    assert sorted(r.id for r in got) == list(range(64)) and max(r.n for r in got) <= 10
+    small = annotate(d, [F.col("text")], [("n", "bigint")], make, ["id"], most=1).collect()
+    assert sorted(r.id for r in small) == list(range(64)) and {r.n for r in small} == {1}
+
+
 def test_one_of_each_component_stays_whatever_the_ids(spark):
     long = " ".join(f"w{i}" for i in range(60))
     d = spark.createDataFrame([(3, long), (5, long + " end"), (5, "another text under the same id"), (5, long + " end"), (3, long),
