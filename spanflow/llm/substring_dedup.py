@@ -13,8 +13,8 @@ ends when none is left.
 
 Equal texts are counted first: one of them takes part for all, with their number as
 its weight.  Rows are dealt out once, by text key and id, so that copies spread, and
-every level reuses that exchange.  Counting adds up before its shuffle, so a passage in a third of all
-documents is one row a task; positions come back through a join that Spark splits.
+every level reuses that exchange.  A level's windows are made and shuffled once and counted where
+they arrive: texts are not split again to ask for the counts.
 
 Hashes of windows have 64 bits at the short lengths (a collision only costs work)
 and 96 at full length.
@@ -30,7 +30,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WordHashes, annotate, blank_words, fresh, mix64, quoted, stored
@@ -127,10 +127,9 @@ def _candidates(texts: DataFrame, level: int, lengths: list[int], survivors: boo
 def _repeated(found: DataFrame, last: bool) -> DataFrame:
     """rid, weight and the places of the windows that occur twice or more."""
     by = ["hash", "hash2"] if last else ["hash"]
-    seen = found.groupBy(*by).agg(F.sum("weight").alias("w")).where("w > 1").select(*by)
+    back = found.withColumn("w", F.sum("weight").over(Window.partitionBy(*by))).where("w > 1")
     # of texts with copies everything is repeated: at the last level nothing is asked
-    asked = found.where("weight = 1") if last else found
-    back = asked.join(seen, by, "left_semi")
+    back = back.where("weight = 1") if last else back
     return back.groupBy("rid").agg(F.first("weight").alias("weight"), F.collect_set("pos").alias("places"))
 
 

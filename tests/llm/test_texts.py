@@ -89,6 +89,19 @@ def test_substring_dedup(docs, no_docs, words):
     assert substring_dedup.dedup_substrings(no_docs).count() == 0
 
 
+def test_substring_dedup_makes_the_windows_of_a_level_once(spark, tmp_path):
+    texts = [(i, " ".join(f"w{j % (50 + i)}" for j in range(90))) for i in range(20)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = substring_dedup.dedup_substrings(spark.read.parquet(f"{tmp_path}/docs"))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    # one for each level and one for the texts that are left; counts asked back by a join took more
+    assert len(re.findall(r"MapInArrow", plan)) == len(substring_dedup.levels(substring_dedup.WORDS)) + 1
+
+
 @pytest.mark.parametrize("run", [1, 2, 3])
 def test_line_dedup(docs, no_docs, run):
     texts = sorted({(r.doc_id is not None, r.doc_id or 0, r.text) for r in docs.collect() if r.text is not None})
