@@ -4,7 +4,8 @@
 2. *Signatures.*  The token space is cut into m parts, where m is larger than the
    number of tokens in which two sets of that size may differ and still be similar:
    similar sets agree on a whole part, so they share its signature.  Common
-   passages do not: the rest of the part differs.
+   passages do not: the rest of the part differs.  A part without a token says
+   nothing, so it has no signature: m has parts to spare for those.
 3. *Groups.*  Every representative that shares a signature joins the group of the
    most central document it shares one with (the one whose signatures are the
    most frequent), and its distance to that centre is computed.  Within a group,
@@ -30,11 +31,12 @@ non-NULL id in it; an empty table gives an empty result; other columns are carri
 from __future__ import annotations
 
 import hashlib
+import math
 from bisect import bisect_right
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WordHashes, annotate, blank_words, fresh, mix64, quoted, stored, text_key
@@ -87,8 +89,14 @@ class Signatures:
         c = bisect_right(self.edges, n) - 1
         out = [c] + ([c + 1] if n * 100 // self.percent >= self.edges[c + 1] else [])
         self._reach(lambda: len(self.edges) > out[-1] + 1)
-        top = [self.edges[k + 1] - 1 for k in out]
-        return [(k, 2 * b * (100 - self.percent) // (100 + self.percent) + 2, b) for k, b in zip(out, top)]
+        return [(k, self.parts(self.edges[k + 1] - 1), self.edges[k + 1] - 1) for k in out]
+
+    def parts(self, top: int) -> int:
+        """One more than two similar sets of the size may differ in, and as many as the
+        larger ones are likely to leave empty."""
+        m = 2 * top * (100 - self.percent) // (100 + self.percent) + 2
+        empty = m * math.exp(-top / m)
+        return m + math.ceil(empty + 3 * math.sqrt(empty))
 
     def __call__(self, tokens: np.ndarray) -> tuple[np.ndarray, list[int]]:
         """The signatures (the lowest bit is that of the scheme), and how many of
@@ -99,14 +107,17 @@ class Signatures:
             first = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1])
             sums, which = np.add.reduceat(mixed, first), part[first]
             made = [mix64(sums ^ mix64(which + np.uint64(scheme << 40)))]
-            # with two parts to spare, one empty part needs no signature
-            empty = np.setdiff1d(np.arange(m, dtype=np.uint64), which)
-            if len(empty) > 1:
-                made.append(mix64(mix64(empty + np.uint64(scheme << 40)) + _B))
-            out += [(x & ~np.uint64(1)) | np.uint64(scheme & 1) for x in made]
             other = max(n, min(top, n * 100 // self.percent))
             differ = (n + other) * (100 - self.percent) // (100 + self.percent)
-            needs[scheme & 1] = max(1, m - differ - 1)
+            # of the parts that a similar set agrees on, no more than this set's empty ones are empty
+            need = len(which) - differ
+            if need < 1:
+                # two sets of this kind may agree on empty parts only, so theirs have signatures;
+                # with any other set such a set shares the part which that one needs
+                empty = np.setdiff1d(np.arange(m, dtype=np.uint64), which)
+                made.append(mix64(mix64(empty + np.uint64(scheme << 40)) + _B))
+            out += [(x & ~np.uint64(1)) | np.uint64(scheme & 1) for x in made]
+            needs[scheme & 1] = max(1, need)
         return np.unique(np.concatenate(out)), needs
 
 
@@ -240,8 +251,9 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int =
     # each document has a signature once, and only what is shared gets its other columns: few bytes are shuffled
     signed = marked.where(F.col("set_key").isNotNull()).select(F.col("row").alias("rid"), "signatures")
     postings = signed.join(reps.select("rid"), "rid").select("rid", F.explode("signatures").alias("sig"))
-    shared = postings.groupBy("sig").agg(F.count("*").alias("held")).where(F.col("held") > 1)
-    contested = stored(postings.join(shared, "sig").join(reps.select("rid", "n", "needs"), "rid"), "contested")
+    # counted where they are dealt out: one exchange, and no second one to ask for the counts
+    shared = postings.withColumn("held", F.count("*").over(Window.partitionBy("sig"))).where(F.col("held") > 1)
+    contested = stored(shared.join(reps.select("rid", "n", "needs"), "rid"), "contested")
 
     # a document that shares fewer signatures than with a similar one is linked with nothing
     votes = _enough(contested.groupBy("rid").agg(F.sum("held").alias("votes"), *_parities()))

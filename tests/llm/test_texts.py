@@ -194,6 +194,30 @@ def test_jaccard_components(spark, docs, no_docs, percent):
         assert jaccard_join.components(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("percent", [75, 80, 90])
+def test_similar_sets_share_the_signatures_that_each_needs(percent):
+    rng, sign = np.random.default_rng(percent), jaccard_join.Signatures(percent)
+    for n in [*range(1, 60), 99, 123, 124, 125, 240, 300, 301, 302, 700]:
+        most = 100 * n // percent - n  # tokens that only one of the two may have
+        for _ in range(25):
+            both, k = rng.integers(0, 1 << 64, n, dtype=np.uint64), int(rng.integers(0, most + 1))
+            a, b = (np.unique(np.append(both, rng.integers(0, 1 << 64, x, dtype=np.uint64))) for x in (k, most - k))
+            (held, need), (other, need_other) = sign(a), sign(b)
+            common = np.intersect1d(held, other).view(np.uint64)
+            shared = [int((common & np.uint64(1) == q).sum()) for q in (0, 1)]
+            assert any(need[q] and need_other[q] and shared[q] >= max(need[q], need_other[q]) for q in (0, 1))
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_unrelated_texts_share_no_signature(percent):
+    # parts without a token were signatures of half of all texts: candidates grew with the square of the input
+    rng, sign = np.random.default_rng(2), jaccard_join.Signatures(percent)
+    held = Counter()
+    for n in (130, 190, 250, 290, 299) * 30:
+        held.update(sign(np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64)))[0].tolist())
+    assert max(held.values()) == 1
+
+
 def test_opened_blocks_take_memory_by_their_tokens():
     import tracemalloc
 
